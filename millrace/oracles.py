@@ -238,7 +238,7 @@ ORACLES: dict[str, str] = {
     "exact_cache": f"WITH {LOG}, f AS (SELECT request_id, coalesce(language, chr(0)) AS lang, {_AT} AS t, {strip("regexp_replace(" + plain("coalesce(query, " + chr(39) * 2 + ")") + ", '[?!.।]+$', '')")} AS form FROM log), g AS (SELECT * FROM f WHERE t IS NOT NULL AND form <> '') SELECT a.request_id, max(epoch_ms(b.t)) AS stored_ms FROM g a JOIN g b ON a.form = b.form AND a.lang = b.lang AND epoch_ms(a.t) - epoch_ms(b.t) > 0 AND epoch_ms(a.t) - epoch_ms(b.t) < 300000 GROUP BY 1",
     "speech_texts": f"SELECT answer_id, left({strip(_SPOKEN)}, 2500) AS spoken FROM {values('answers')}",
     "recent_turns": f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY turn DESC) AS back FROM {values('turns')}) SELECT conversation_id, turn, row_number() OVER (PARTITION BY conversation_id ORDER BY turn) AS place, {truncated('content', 1200)} AS content FROM r WHERE back <= 3",
-    "web_contexts": f"WITH o AS (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY tier, position) AS nth FROM {values('web_tiers')}), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, position) AS place FROM o WHERE nth = 1) SELECT query_id, '## Web Search Results' || chr(10) || chr(10) || 'Query: "' || any_value(query) || '"' || chr(10) || chr(10) || chr(10) || chr(10) || string_agg('[Web ' || place || '] **' || title || '**' || chr(10) || snippet || chr(10) || 'Source: ' || url, chr(10) || chr(10) ORDER BY place) AS context FROM p WHERE place <= 3 GROUP BY query_id",
+    "web_contexts": f"WITH o AS (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY tier, position) AS nth FROM {values('web_tiers')}), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, position) AS place FROM o WHERE nth = 1) SELECT query_id, '## Web Search Results' || chr(10) || chr(10) || 'Query: ' || chr(34) || any_value(query) || chr(34) || chr(10) || chr(10) || chr(10) || chr(10) || string_agg('[Web ' || place || '] **' || title || '**' || chr(10) || snippet || chr(10) || 'Source: ' || url, chr(10) || chr(10) ORDER BY place) AS context FROM p WHERE place <= 3 GROUP BY query_id",
     "dedupe_best_rank": f"{BM25_CHUNKS}, {RANKED} SELECT * FROM ranked",
     "retrieval_quality": f"{BM25_CHUNKS}, {RANKED}, {QRELS} SELECT query_id, relevant, round(recall, 9) AS recall, round(precision, 9) AS precision, round(reciprocal_rank, 9) AS reciprocal_rank, round(ndcg, 9) AS ndcg, hit FROM {quality(5)}",
     "quality_summary": f"{BM25_CHUNKS}, {RANKED}, {QRELS} SELECT round(avg(a.recall), 6) AS recall_at_5, round(avg(b.recall), 6) AS recall_at_10, round(avg(a.precision), 6) AS precision_at_5, round(avg(a.reciprocal_rank), 6) AS mrr, round(avg(a.ndcg), 6) AS ndcg_at_5, round(avg(a.hit::INTEGER), 6) AS hit_rate, count(*) AS queries FROM {quality(5)} a JOIN {quality(10)} b USING (query_id)",
