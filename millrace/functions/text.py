@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -36,6 +37,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once a row: inside the functions of arrays an expression is computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def dense_length(text: Column) -> Column:
     """Characters of dense scripts in ``text``."""
     return F.length(text) - F.length(F.regexp_replace(text, _DENSE, ""))
@@ -82,8 +88,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def coverage(needles: Column, haystack: Column) -> Column:
     """Share of the needles, repeated ones counted, that are in the haystack; 0 without needles."""
-    found = F.filter(needles, lambda t: F.array_contains(haystack, t))
-    return F.when(F.size(needles) == 0, 0.0).otherwise(F.size(found) / F.size(needles))
+    return let(F.struct(needles.alias("n"), haystack.alias("h")), lambda x: F.when(F.size(x["n"]) == 0, 0.0).otherwise(F.size(F.filter(x["n"], lambda t: F.array_contains(x["h"], t))) / F.size(x["n"])))
 
 
 def cut_at_word(text: Column, limit: int) -> Column:
@@ -107,14 +112,15 @@ def clamp_query(query: Column, limit: int = 512) -> Column:
 def trigrams(text: Column) -> Column:
     """The set of runs of three characters, lower case, white space collapsed."""
     plain = strip(F.regexp_replace(F.lower(text), f"{SPACE}+", " "))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(plain) - 2)), lambda i: F.substring(plain, i, F.lit(3)))
-    return F.when(F.length(plain) < 3, F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+    grams = lambda p: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(p) - 2)), lambda i: F.substring(p, i, F.lit(3)))
+    return let(plain, lambda p: F.when(F.length(p) < 3, F.array().cast("array<string>")).otherwise(F.array_distinct(grams(p))))
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:
     """1 for equal texts, else the Jaccard share of their trigrams; 0 if one is empty."""
     empty = (F.coalesce(F.length(a), F.lit(0)) == 0) | (F.coalesce(F.length(b), F.lit(0)) == 0)
-    return F.when(empty, 0.0).when(a == b, 1.0).otherwise(jaccard(trigrams(a), trigrams(b)))
+    shared = let(F.struct(trigrams(a).alias("a"), trigrams(b).alias("b")), lambda x: jaccard(x["a"], x["b"]))
+    return F.when(empty, 0.0).when(a == b, 1.0).otherwise(shared)
 
 
 def script_of(text: Column) -> Column:

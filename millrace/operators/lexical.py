@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.functions.text import content_tokens, tokenize
+from millrace.functions.text import content_tokens, let, tokenize
 from millrace.functions.vector import inverse_document_frequency
 from millrace.operators.evaluation import numbered
 
@@ -90,7 +90,7 @@ def heuristic_rerank(candidates: DataFrame, query: str, text: str, prior: str, q
     """
     terms, tokens = F.array_distinct(content_tokens(F.col(query))), tokenize(F.col(text))
     rows = candidates.withColumns({"_terms": terms, "_tokens": tokens})
-    places = F.filter(F.transform("_terms", lambda t: F.array_position("_tokens", t)), lambda p: p > 0)
+    places = let(F.struct("_terms", "_tokens"), lambda x: F.filter(F.transform(x["_terms"], lambda t: F.array_position(x["_tokens"], t)), lambda p: p > 0))
     rows = rows.withColumn("_places", places).withColumn("_top", F.greatest(F.max(prior).over(W.partitionBy(query_key)), F.lit(1e-9)))
     n = F.size("_places")
     spread = F.array_max("_places") - F.array_min("_places")

@@ -130,8 +130,9 @@ def trigram_jaccard(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def token_overlap(spark: SparkSession, d: str) -> DataFrame:
-    a, b = X.tokenize(F.coalesce("query", F.lit(""))), X.tokenize(F.coalesce("answer", F.lit("")))
-    return _cases(spark, d).select("query_id", F.round(X.jaccard(a, b), 9).alias("jaccard"), F.round(X.coverage(X.content_tokens(F.coalesce("query", F.lit(""))), b), 9).alias("coverage"))
+    q, answer = F.coalesce("query", F.lit("")), X.tokenize(F.coalesce("answer", F.lit("")))
+    shared = X.let(F.struct(X.tokenize(q).alias("a"), answer.alias("b")), lambda x: X.jaccard(x["a"], x["b"]))
+    return _cases(spark, d).select("query_id", F.round(shared, 9).alias("jaccard"), F.round(X.coverage(X.content_tokens(q), answer), 9).alias("coverage"))
 
 
 @query
