@@ -107,7 +107,12 @@ def diversify(relevance: list[float], texts: list[str], limit: int, weight: floa
         like = np.maximum(0.0, m @ m.T)
     else:
         grams = [_grams(t or "") for t in texts]
-        like = np.array([[len(a & b) / len(a | b) if a and b else 0.0 for b in grams] for a in grams])
+        place = {g: i for i, g in enumerate(frozenset().union(*grams))}
+        marks = np.zeros((n, max(1, len(place))), dtype="f4")
+        for i, own in enumerate(grams):
+            marks[i, [place[g] for g in own]] = 1
+        shared, sizes = marks @ marks.T, marks.sum(axis=1)
+        like = shared / np.maximum(1, sizes[:, None] + sizes[None, :] - shared)
     nearest, chosen, open_ = np.zeros(n), [], np.ones(n, dtype=bool)
     while len(chosen) < limit and open_.any():
         score = np.where(open_, weight * r - (1 - weight) * nearest, -np.inf)

@@ -60,19 +60,21 @@ def query_weights(queries: DataFrame, frequencies: DataFrame, stats: DataFrame,
 def bm25_scores(queries: DataFrame, docs: DataFrame, query_key: str = "query_id", query_text: str = "query", key: str = "id", text: str = "text", searched: Column | None = None, distinct: bool = False) -> DataFrame:
     """query key, key, score of every document that shares a term with the query.
 
-    Statistics are those of all ``docs``; only rows for which ``searched`` holds are found (all
-    without it), which the join filters before it sums.
+    Statistics are those of all ``docs``; only rows for which ``searched`` holds are found (all without it).
     """
-    posted = postings(docs, key, text)
+    tokens = docs.select(key, (F.lit(True) if searched is None else F.coalesce(searched, F.lit(False))).alias("_searched"), tokenize(F.col(text)).alias("_tokens"))
+    terms = tokens.select(key, "_searched", F.size("_tokens").alias("length"), F.explode("_tokens").alias("term"))
+    # terms that no query has are dropped before anything is counted or shuffled
+    wanted = queries.select(F.explode(tokenize(F.col(query_text))).alias("term")).distinct()
+    posted = terms.join(wanted, "term", "left_semi").groupBy(key, "_searched", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     stats = corpus_stats(docs, text)
-    frequencies = term_frequencies(posted)
-    asked = query_weights(queries, frequencies, stats, query_key, query_text, distinct)
-    found = posted if searched is None else posted.join(docs.filter(searched).select(key), key, "left_semi")
-    # only postings of terms that some query has are weighted
-    matched = found.join(asked, "term").crossJoin(F.broadcast(stats))
+    asked = query_weights(queries, term_frequencies(posted), stats, query_key, query_text, distinct)
     saturation = K1 * (1 - B + B * F.col("length") / F.col("average_length"))
     product = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + saturation)
-    return matched.groupBy(query_key, key).agg(F.round(F.sum(product), DIGITS).alias("score")).filter("score > 0")
+    # what is not searched counts in the statistics: kept out of the sum, not of the postings, so that both uses share one exchange
+    score = F.round(F.sum(F.when(F.col("_searched"), product).otherwise(0.0)), DIGITS)
+    matched = posted.join(asked, "term").crossJoin(F.broadcast(stats))  # one row
+    return matched.groupBy(query_key, key).agg(score.alias("score")).filter("score > 0")
 
 
 def top_k(scored: DataFrame, k: int, query_key: str = "query_id", key: str = "id", score: str = "score") -> DataFrame:
