@@ -11,6 +11,7 @@ from millrace.functions.text import estimate_tokens
 from millrace.llm.canonical import canonical_text, look_alike_pairs
 from millrace.llm.mixing import canonical_source, mix_sources
 from millrace.llm.neighbours import mutual_pairs, nearest_neighbours
+from millrace.llm.oracles import SQL as SQL
 from millrace.llm.packing import pack_containers
 from millrace.llm.quantiles import build_sketches, merge_sketches, sketch_percentiles
 from millrace.llm.segments import recut, split_oversized
@@ -170,4 +171,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (p1_found, p1_sentences, p2_found, p2_daily, p2_weekly, p3_found, p3_neighbours, p4_found, p4_tokens, p4_totals, p5_found, p5_canonical, p6_found, p6_pieces, p7_found, p7_containers, p8_found, p8_shares, p8_mixture, p9_found, p9_shared)
 }
-SQL: dict[str, str] = {}
