@@ -312,6 +312,18 @@ def semantic_cache(spark: SparkSession, d: str) -> DataFrame:
     return H.semantic_cache_hits(asked, rows, 0.2)
 
 
+@query
+def retrieve_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Both arms, fusion, diversity, reranking and expansion in one plan."""
+    from millrace.plans.pipelines import retrieve
+
+    vectors = read_table(spark, d, "vector_records").filter(F.size("vector") == 96).dropDuplicates(["id"]).select("id", "vector")
+    chunks = _chunks(spark, d).select("id", "text", "document_id", "parent_chunk", "strategy", "source", "language", "topic").join(vectors, "id", "left")
+    asked = _cases(spark, d).select("query_id", "query").join(_query_vectors(spark, d), "query_id", "left")
+    rows, _ = retrieve(asked, chunks)
+    return rows.select("query_id", "id", "document_id", "rank_before", "rank_after", F.round("rerank_score", 6).alias("rerank_score"), F.coalesce(F.length("parent_text"), F.lit(0)).alias("parent_chars"))
+
+
 # --- evaluation -----------------------------------------------------------------------------------
 
 
