@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.operators.evaluation import running_counts
+
 # Ranks of the reported percentiles.
 RANKS = {"p50": 0.5, "p70": 0.7, "p95": 0.95, "p99": 0.99}
 #: A retrieval path within this many milliseconds keeps the budget.
@@ -39,12 +41,11 @@ def once_each(log: DataFrame, key: str = "request_id") -> DataFrame:
 def percentile_rows(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """by, count, mean, least, p50, p70, p95, p99, p100: nearest-rank percentiles, exact.
 
-    Equal values are counted before the shuffle; a group's distinct values are ranked by running
-    counts. For very large columns use sketches.
+    Equal values are counted before the shuffle; the distinct ones are ranked by running counts over
+    ranges of values, so that a group of all rows is spread over all tasks. For very large columns use sketches.
     """
     counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    w = W.partitionBy(*by)
-    running = counted.withColumn("_upto", F.sum("_n").over(w.orderBy(value))).withColumn("_all", F.sum("_n").over(w))
+    running = running_counts(counted, value, by)
     # the least value whose running count reaches the rank
     at = {name: F.min(F.when(F.col("_upto") >= F.ceil(F.lit(r) * F.col("_all")), F.col(value))).alias(name) for name, r in RANKS.items()}
     return running.groupBy(*by).agg(
@@ -120,9 +121,8 @@ def latest_and_upper_median(log: DataFrame, value: str, by: str) -> DataFrame:
     """by, latest, upper_median (place n/2 from 0 of the sorted values): through counts of equal values, not through sorted lists."""
     rows = log.select(by, F.round(measured(F.col(value)), 2).alias("v"), event_time(F.col("created_at")).alias("at"), "request_id").filter(F.col("v").isNotNull())
     latest = rows.groupBy(by).agg(F.max_by("v", F.struct("at", "request_id")).alias("latest"))
-    w = W.partitionBy(by)
-    counted = rows.groupBy(by, "v").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(w.orderBy("v"))).withColumn("all", F.sum("n").over(w))
-    median = counted.groupBy(by).agg(F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("v"))).alias("upper_median"))
+    counted = running_counts(rows.groupBy(by, "v").agg(F.count(F.lit(1)).alias("_n")), "v", [by])
+    median = counted.groupBy(by).agg(F.min(F.when(F.col("_upto") > F.floor(F.col("_all") / 2), F.col("v"))).alias("upper_median"))
     return latest.join(median, by)
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.plans.lineage import cut
+
 
 def best_ranks(hits: DataFrame, query_key: str = "query_id", doc: str = "document_id", rank: str = "rank") -> DataFrame:
     """Each document once a query, at its best rank, ranked again from 1."""
@@ -55,8 +59,24 @@ def stride_sample(cases: DataFrame, size: int, order: str) -> DataFrame:
 
 def numbered(df: DataFrame, order: str) -> DataFrame:
     """``df`` with _place, from 1 in the order of ``order`` (unique)."""
-    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
+    # the ranges are drawn from a sample, anew each time the plan runs: they are fixed before they are used twice
+    ranged = cut(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
     inside = ranged.withColumn("_nth", F.row_number().over(W.partitionBy("_part").orderBy(order)))
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))  # a row a partition
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_size")
     return inside.join(starts, "_part").withColumn("_place", F.col("_start") + F.col("_nth")).drop("_part", "_nth", "_start")
+
+
+def running_counts(counted: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """``counted`` (by, value, _n; a row a value) with _upto, the count of values up to it, and _all, that of its group.
+
+    Values are put in ranges, so that no task sorts a whole group; groups add up over the ranges' sums.
+    """
+    ranged = cut(counted.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()))
+    inside = ranged.withColumn("_upto", F.sum("_n").over(W.partitionBy("_part", *by).orderBy(value)))
+    sums = ranged.groupBy("_part", *by).agg(F.sum("_n").alias("_sum"))  # a row a partition and group
+    w = W.partitionBy(*by)
+    starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(w.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_sum").over(w)).drop("_sum")
+    same = [inside[c].eqNullSafe(starts[c]) for c in ("_part", *by)]
+    joined = inside.join(starts, reduce(Column.__and__, same))
+    return joined.select(*(inside[c] for c in (*by, value, "_n")), (F.col("_upto") + F.col("_start")).alias("_upto"), "_all")
