@@ -101,3 +101,43 @@ def reset(spark: SparkSession, path: str) -> None:
     """Drops the table and all its versions."""
     _, p, fs = _hadoop(spark, path)
     fs.delete(p, True)
+
+
+def count_rows(spark: SparkSession, path: str) -> int:
+    """Rows of a Parquet table, from its footers; 0 if it cannot be read."""
+    try:
+        return spark.read.parquet(path).count()
+    except Exception:  # noqa: BLE001
+        return 0
+
+
+def write_report(df: DataFrame, path: str, stamp: str) -> str:
+    """A report as JSON in a folder of its own, named by its time; returns the folder."""
+    target = f"{path}/report-{stamp.replace(':', '-')}"
+    df.coalesce(1).write.mode("errorifexists").json(target)  # a few rows
+    return target
+
+
+def send_batches(df: DataFrame, send: Callable[[], Callable[[list[dict]], None]], size: int = 128, retries: int = 2) -> int:
+    """Sends all rows to an outside store in batches from every partition; a failed batch is tried again. Returns the rows sent.
+
+    ``send`` is called once a task. A task that is run again sends its rows again: the store must take a row twice.
+    """
+    import pandas as pd
+
+    def run(frames):
+        put, sent = send(), 0
+        for frame in frames:
+            rows = frame.to_dict("records")
+            for i in range(0, len(rows), size):
+                for attempt in range(retries + 1):
+                    try:
+                        put(rows[i : i + size])
+                        break
+                    except Exception:
+                        if attempt == retries:
+                            raise
+            sent += len(rows)
+        yield pd.DataFrame({"sent": [sent]})
+
+    return df.mapInPandas(run, "sent long").agg(F.coalesce(F.sum("sent"), F.lit(0)).alias("n")).first()["n"]
