@@ -77,7 +77,7 @@ def mix_sources(df: DataFrame, key: str, source: str, size: Column, targets: Dat
     spark = df.sparkSession
     buckets = buckets or max(64, partitions(spark))
     rows = df.select(F.col(key).alias("key"), canonical_source(F.col(source)).alias("source"), size.cast("long").alias("size"))
-    rows = cut(rows.join(F.broadcast(targets.select("source").distinct().limit(MAX_SOURCES + 1)), "source").filter("size > 0").withColumn("bucket", F.pmod(F.xxhash64("key", "source"), F.lit(buckets)).cast("int")))
+    rows = cut(rows.join(F.broadcast(targets.select("source").distinct().limit(MAX_SOURCES + 1)), "source").withColumn("bucket", F.pmod(F.xxhash64("key", "source"), F.lit(buckets)).cast("int"))).filter("size > 0")
     plan = source_sizes(rows, "source", F.col("size"), targets)
     plan = plan.withColumn("quota", F.least(F.ceil("wanted"), F.col("max_repeats") * F.col("size")).cast("long"))
     plan_rows = plan.limit(MAX_SOURCES + 1).collect()  # a row a target
