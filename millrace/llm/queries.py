@@ -119,7 +119,9 @@ def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     pieces = read_table(spark, d, "chunks").filter("strategy IS NULL OR strategy <> 'parent'")
     # rows of a repeated id have the same text and offsets
-    return recut(pieces.dropDuplicates(["id"]), _passages(spark, d)).select(F.col("id").alias("chunk_id"))
+    cut_anew = recut(pieces.dropDuplicates(["id"]), _passages(spark, d))
+    # what was cut anew, and what cannot be, for want of a passage
+    return cut_anew.filter((F.size("pieces") > 0) | F.array_contains("faults", "offsets")).select(F.col("id").alias("chunk_id"))
 
 
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
