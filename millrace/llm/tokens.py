@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import DENSE_SCRIPTS, estimate_from
+from millrace.plans.lineage import cut
 
 TOKENIZERS = os.environ.get("MILLRACE_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -29,6 +30,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
 #: Characters of a piece by which pieces are partitioned.
 PREFIX = 4
+#: Distinct pieces of which the counts are broadcast, with 150 bytes each.
+BROADCAST_PIECES = 1_000_000
 
 
 class Bpe:
@@ -133,9 +136,9 @@ def piece_column(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))
 
 
-def _keys(piece: str) -> list[Column]:
-    """96 bits that stand for a piece where it is joined."""
-    return [F.xxhash64(piece).alias("h"), F.hash(piece).alias("g")]
+def _keys(column: str, first: str, second: str) -> list[Column]:
+    """96 bits that stand for a value where it is joined."""
+    return [F.xxhash64(column).alias(first), F.hash(column).alias(second)]
 
 
 def trie_counts(pieces: DataFrame, vocabulary: str | None) -> DataFrame:
@@ -174,16 +177,18 @@ def count_tokens(df: DataFrame, key: str, text: str = "text", vocabulary: str |
     Keys are unique (drop repeated rows before). Null and empty texts count 0; a null key is one key.
     Without a vocabulary tokens are null, and the estimate alone is of use.
     """
-    texts = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    occurring = texts.select("key", F.explode(piece_column(F.col("text"))).alias("piece"))
-    distinct = occurring.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).select("piece", *_keys("piece"))
-    counts = trie_counts(distinct, vocabulary)
-    # a text's pieces lie in one partition: they are combined there, before they are shuffled to their counts
-    terms = occurring.select("key", *_keys("piece")).groupBy("key", "h", "g").agg(F.count(F.lit(1)).alias("n"))
-    summed = terms.join(counts, ["h", "g"]).groupBy("key").agg(*(F.sum(F.col("n") * F.col(c)).alias(c) for c in ("tokens", "chars", "dense")))
-    zero = texts.select("key", F.length("text").alias("_length"))
-    out = zero.join(summed, zero["key"].eqNullSafe(summed["key"]), "left").select(zero["key"], "tokens", "chars", "dense", "_length")
-    filled = out.select("key", (F.coalesce("tokens", F.lit(0)) if vocabulary else F.col("tokens")).cast("long").alias("tokens"), F.coalesce("chars", F.lit(0)).alias("chars"), F.coalesce("dense", F.lit(0)).alias("dense_chars"))
+    texts = df.select(F.col(key).alias("key"), *_keys(key, "a", "b"), F.col(text).alias("text"))
+    occurring = texts.select("a", "b", F.explode(piece_column(F.col("text"))).alias("piece"))
+    distinct = occurring.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).select("piece", *_keys("piece", "h", "g"))
+    counts = cut(trie_counts(distinct, vocabulary))
+    # keys and pieces travel as 96 bits each
+    terms = occurring.select("a", "b", *_keys("piece", "h", "g"))
+    # a vocabulary of a checked size is broadcast, so that each text is summed where it lies; beyond it both sides are shuffled
+    joined = terms.join(F.broadcast(counts) if counts.count() <= BROADCAST_PIECES else counts, ["h", "g"])
+    summed = joined.groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in ("tokens", "chars", "dense")))
+    filled = texts.select("key", "a", "b").join(summed, ["a", "b"], "left").select(
+        "key", (F.coalesce("tokens", F.lit(0)) if vocabulary else F.col("tokens")).cast("long").alias("tokens"), F.coalesce("chars", F.lit(0)).alias("chars"), F.coalesce("dense", F.lit(0)).alias("dense_chars")
+    )
     return filled.select(F.col("key").alias(key), "tokens", "chars", "dense_chars", estimate_from(F.col("chars"), F.col("dense_chars")).alias("estimate"))
 
 
