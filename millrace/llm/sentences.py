@@ -53,6 +53,7 @@ PAIRS = {
 }
 QUOTES = frozenset("“‘«‹„「『《〈\"")
 _CLOSERS = frozenset(PAIRS.values()) | {'"'}
+_OPENERS = {c: "".join(a for a, b in PAIRS.items() if b == c) for c in PAIRS.values()} | {'"': '"'}
 
 _INVISIBLE = r"\p{Cf}­"
 _BLANK = regex.compile(r"(?:\r\n|[\n\r\x85 ])[^\S\n\r\x85  ]*(?:(?:\r\n|[\n\r\x85 ])[^\S\n\r\x85  ]*)+| \s*")
@@ -79,25 +80,27 @@ def _pairs(text: str, start: int, end: int) -> dict[int, int]:
     """Where each opening mark of the paragraph closes; marks without a partner are left out."""
     found: dict[int, int] = {}
     stack: list[tuple[str, int]] = []
+    places: dict[str, list[int]] = {}  # of each opening mark, where it lies in the stack
+
+    def close(marks: str, at: int) -> bool:
+        opened = max((places[m][-1] for m in marks if places.get(m)), default=-1)
+        if opened < 0:
+            return False
+        found[stack[opened][1]] = at
+        while len(stack) > opened:  # marks inside it that did not close have no partner
+            places[stack.pop()[0]].pop()
+        return True
+
     for m in _EVENT.finditer(text, start, end):
         if m.lastgroup != "mark":
             continue
         c, at = m.group(), m.start()
-        if c == '"':
-            opened = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == '"'), None)
-            if opened is None:
-                stack.append(('"', at))
-            else:
-                found[stack[opened][1]] = at
-                del stack[opened:]
-            continue
         if c == "’" and 0 < at < end - 1 and text[at - 1].isalnum() and text[at + 1].isalnum():
             continue  # an apostrophe
-        opened = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] != '"' and PAIRS[stack[k][0]] == c), None) if c in _CLOSERS else None
-        if opened is not None:
-            found[stack[opened][1]] = at
-            del stack[opened:]
-        elif c in PAIRS:
+        if close(_OPENERS.get(c, ""), at):
+            continue
+        if c in PAIRS or c == '"':
+            places.setdefault(c, []).append(len(stack))
             stack.append((c, at))
     return found
 
@@ -125,6 +128,7 @@ def _abbreviated(text: str, start: int, at: int, language: str | None) -> bool:
 def _paragraph(text: str, start: int, end: int, language: str | None, latin: bool) -> Iterator[tuple[int, int]]:
     """Units of text[start:end], which holds no blank line and no list item but at its start."""
     pairs = _pairs(text, start, end)
+    closing = set(pairs.values())
     unit = start
     m = _MARKER.match(text, start, end)
     skip = m.end() if m else start
@@ -162,7 +166,7 @@ def _paragraph(text: str, start: int, end: int, language: str | None, latin: boo
             if not _gap(text, stop, end) and _joined(text, at, stop, term):
                 continue
         # closing marks belong to the unit
-        while stop < end and ((text[stop] in _CLOSERS and text[stop] != '"' and stop not in pairs) or (text[stop] == '"' and stop not in pairs and stop in pairs.values())):
+        while stop < end and ((text[stop] in _CLOSERS and text[stop] != '"' and stop not in pairs) or (text[stop] == '"' and stop in closing)):
             stop += 1
         following = _VISIBLE.search(text, stop, end)
         if following is None:
@@ -238,11 +242,15 @@ _WESTERN = regex.compile(r"[\p{N}\p{Latin}\p{Greek}\p{Cyrillic}]")
 def _thai(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
     """Spaces end units, but for those beside numbers and words of Latin script."""
     pairs = _pairs(text, start, end)
-    inside = sorted(pairs.items())
-    unit = start
+    unit, shut = start, start
+    opened = iter(sorted(pairs))
+    upcoming = next(opened, end)
     m = _MARKER.match(text, start, end)
     for g in _THAI_GAP.finditer(text, m.end() if m else start, end):
-        if any(a < g.start() < b for a, b in inside) or text[g.start()] in "\n\r":
+        while upcoming < g.start():  # the furthest that a pair opened before the gap reaches
+            shut = max(shut, pairs[upcoming])
+            upcoming = next(opened, end)
+        if g.start() < shut or text[g.start()] in "\n\r":
             continue
         before, after = _VISIBLE_BACK.search(text, start, g.start()), _VISIBLE.search(text, g.end(), end)
         if not before or not after or _WESTERN.match(before.group()) or _WESTERN.match(after.group()):

@@ -40,6 +40,16 @@ def test_unspaced_scripts():
     assert units("ایک ہے۔ دو ہے؟", "urd_Arab") == ["ایک ہے۔", "دو ہے؟"]
 
 
+def test_marks_without_partners_cost_no_more():
+    import time
+
+    began = time.time()
+    for text in ("(" * 60_000 + "”" * 60_000, "“a” " * 40_000, '"' * 60_001, "ก (ข) " * 30_000, "(ก" * 30_000 + " ข" * 30_000):
+        for language in ("eng_Latn", "tha_Thai"):
+            sentence_units(text, language)
+    assert time.time() - began < 60
+
+
 def test_empty_and_long():
     assert sentence_units(None, None) == sentence_units("", "x") == sentence_units(" \n\n ", "eng_Latn") == []
     text = "A mill ran here. " * 20_000
