@@ -94,15 +94,16 @@ class _Passage:
     def depths(self, candidates: list[int]) -> list[float]:
         """How deep the valley at each candidate is, below the peaks on either side of it."""
         s = [self._similarity(c) for c in candidates]
-        out = []
-        for i, v in enumerate(s):
-            left = right = i
-            while left and s[left - 1] >= s[left]:
-                left -= 1
-            while right + 1 < len(s) and s[right + 1] >= s[right]:
-                right += 1
-            out.append(s[left] - v + s[right] - v)
-        return out
+
+        def peaks(values: list[float]) -> list[float]:
+            """Of each place the height that is reached going back uphill from it."""
+            out: list[float] = []
+            for i, v in enumerate(values):
+                out.append(out[-1] if i and values[i - 1] >= v else v)
+            return out
+
+        left, right = peaks(s), peaks(s[::-1])[::-1]
+        return [a - v + b - v for a, v, b in zip(left, s, right)]
 
 
 def cut_passage(text: str, language: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:

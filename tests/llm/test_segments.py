@@ -38,6 +38,15 @@ def test_no_boundary_at_all():
     check("क" * 3000, "hin_Deva")
 
 
+def test_very_long_passages():
+    import time
+
+    began = time.time()
+    check(TOPIC_A * 6_000, "eng_Latn")
+    check("字。" * 100_000, "zho_Hans")
+    assert time.time() - began < 120
+
+
 def test_small_null_and_empty():
     assert cut_passage("", None) == [] and cut_passage("short", None) == [(0, 5, 2)]
 
