@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from functools import lru_cache
@@ -58,7 +59,7 @@ SEPARATORS = tuple(map(regex.compile, (r"\n{2,}", r"\n", r"(?<=[.!?।॥۔؟…
 MERGED, OVERSIZED, OWN_SHARE, NEIGHBOUR_SHARE, SNAP = 1.35, 1.5, 0.35, 0.5, 24
 
 
-@lru_cache(maxsize=1 << 14)
+@lru_cache(maxsize=1 << 12)
 def estimate(text: str) -> int:
     if not text:
         return 0
@@ -228,7 +229,8 @@ def chunk_passage(text: str, prefix: str, o: Options) -> Iterator[dict]:
         key = f"{prefix}::{strategy}::{index}"
         return {"id": uuid_from(key), "chunk_key": key, "text": s.text, "strategy": strategy, "chunk_index": index, "parent_chunk": parent, "token_count": s.tokens, "char_start": s.start, "char_end": s.end}
 
-    kept = {k: row(p, "parent", k, None) for k, p in enumerate(parents) if of.count(k) > 1}
+    sizes = Counter(of)
+    kept = {k: row(p, "parent", k, None) for k, p in enumerate(parents) if sizes[k] > 1}
     yield from kept.values()
     texts = {r["text"] for r in kept.values()}
     for i, s in enumerate(children):

@@ -81,6 +81,14 @@ def test_any_text(words):
         assert s.start < s.end <= len(text)
 
 
+def test_very_long_text():
+    import time
+
+    began = time.time()
+    rows = list(C.chunk_passage(" ".join(sentence(f"w{i % 50}", 12) for i in range(8_000)), "d", O))
+    assert len(rows) > 1_000 and time.time() - began < 60
+
+
 def test_operator(spark):
     rows = [("d", "0", "A mill. " * 3, "eng_Latn", "s", None, "what is a mill", "x")] * 2 + [("e", "0", None, "eng_Latn", "s", None, None, "x"), ("f", "1", "", None, None, None, None, "x")]
     df = spark.createDataFrame(rows, "document_id string, passage_id string, text string, language string, source string, topic string, query_text string, id string")
