@@ -45,6 +45,27 @@ RULES = (
     Rule("out_of_scope", "self_reference", 0.7, r"\b(what\s+(model|llm|ai)\s+are\s+you|who\s+(made|built|created|trained)\s+you|what\s+is\s+your\s+(name|version))\b"),
     Rule("out_of_scope", "realtime_request", 0.65, r"\b(current|today'?s|latest|right\s+now)\s+(weather|time|date|price|stock|news|score)\b"),
 )
+# Of each rule words of which a text it matches has one, for a test that costs little.
+NEEDED = {
+    "override_instructions": "ignore disregard forget override discard",
+    "reveal_system_prompt": "prompt instruction rule",
+    "role_reassignment": "now act pretend assume simulat",
+    "fake_system_turn": "system assistant user",
+    "delimiter_injection": "<| [inst] [/inst] <<sys>> ###",
+    "instruction_suffix": "instruction rule directive",
+    "named_jailbreak": "mode anything jailbreak",
+    "restriction_removal": "restriction filter guardrail safety censor limitation ethical content",
+    "hypothetical_bypass": "hypothetically fictional educational theoretical",
+    "no_refusal": "refuse decline cannot",
+    "encoded_payload": "base64 rot13 hex decode",
+    "threat_of_violence": "kill murder assault poison stab shoot torture",
+    "weapon_synthesis": "bomb explosive agent weapon ricin sarin",
+    "self_harm": "myself life suicide",
+    "targeted_hate": "killed eliminated exterminated subhuman vermin",
+    "meta_request": "poem song story essay script code program function",
+    "self_reference": "you",
+    "realtime_request": "weather time date price stock news score",
+}
 INPUT_GUARDS = ("prompt_injection", "jailbreak", "toxicity")
 # What a blocked, weak or unsure request is told.
 REFUSALS = {
@@ -59,20 +80,28 @@ def rules_of(group: str) -> list[Rule]:
     return [r for r in RULES if r.group == group]
 
 
+def matches(text: Column, rule: Rule) -> Column:
+    """Whether the rule's pattern is found. Tried only on texts with one of the words it needs, or with the one letter
+    (long s) that the pattern takes for an s and lower case does not."""
+    low = F.lower(text)
+    words = reduce(Column.__or__, (F.contains(low, F.lit(w)) for w in (*NEEDED[rule.name].split(), "ſ")))
+    return words & text.rlike(f"(?iu){rule.pattern}")
+
+
 def rule_hits(text: Column, group: str) -> Column:
     """Names of the group's rules that match, in their order."""
-    return F.array_compact(F.array(*(F.when(text.rlike(f"(?iu){r.pattern}"), F.lit(r.name)) for r in rules_of(group))))
+    return F.array_compact(F.array(*(F.when(matches(text, r), F.lit(r.name)) for r in rules_of(group))))
 
 
 def rule_score(text: Column, group: str) -> Column:
     """The sum of the matching rules' weights, at most 1."""
-    weights = [F.when(text.rlike(f"(?iu){r.pattern}"), F.lit(r.weight)).otherwise(0.0) for r in rules_of(group)]
+    weights = [F.when(matches(text, r), F.lit(r.weight)).otherwise(0.0) for r in rules_of(group)]
     return F.least(F.lit(1.0), F.round(reduce(Column.__add__, weights), 4))
 
 
 def rule_evidence(text: Column, group: str) -> Column:
     """name: snippet (white space collapsed, 120 characters) of each rule that matches."""
-    rows = [F.when(text.rlike(f"(?iu){r.pattern}"), F.concat(F.lit(f"{r.name}: "), F.substring(F.trim(F.regexp_replace(F.regexp_substr(text, F.lit(f"(?iu){r.pattern}")), r"\s+", " ")), 1, 120))) for r in rules_of(group)]
+    rows = [F.when(matches(text, r), F.concat(F.lit(f"{r.name}: "), F.substring(F.trim(F.regexp_replace(F.regexp_substr(text, F.lit(f"(?iu){r.pattern}")), r"\s+", " ")), 1, 120))) for r in rules_of(group)]
     return F.array_compact(F.array(*rows))
 
 

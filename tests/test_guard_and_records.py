@@ -23,6 +23,19 @@ def test_every_rule_fires_on_its_case_only(spark):
     assert all(not got[k] for k in ("q20", "q21", "q22", "q23", "q24"))
 
 
+def test_needed_words_lose_no_match(spark):
+    """Texts made of the rules' own words, in any case: the cheap test and the pattern alone agree."""
+    import random
+
+    r = random.Random(1)
+    words = sorted({w for rule in G.RULES for w in __import__("re").findall(r"[A-Za-z']{2,}", rule.pattern.replace(r"\s", " ").replace(r"\b", " "))} | {"a", "to", "how to", "<|", "|>", "###", ":", "ſystem:", "DO I", "my", "[INST]"})
+    rows = [(i, " ".join(r.choice(words).upper() if r.random() < 0.3 else r.choice(words) for _ in range(r.randint(2, 14)))) for i in range(4000)]
+    df = spark.createDataFrame(rows, "i int, t string")
+    both = df.select(*(G.matches(F.col("t"), x).alias(f"m{k}") for k, x in enumerate(G.RULES)), *(F.col("t").rlike(f"(?iu){x.pattern}").alias(f"p{k}") for k, x in enumerate(G.RULES)))
+    counts = both.agg(*(F.count_if(F.col(f"m{k}") != F.col(f"p{k}")).alias(f"d{k}") for k in range(len(G.RULES))), *(F.count_if(f"p{k}").alias(f"n{k}") for k in range(len(G.RULES)))).first()
+    assert not any(counts[f"d{k}"] for k in range(len(G.RULES))) and sum(counts[f"n{k}"] > 0 for k in range(len(G.RULES))) >= 6
+
+
 def test_scores_are_capped_and_verdicts_edged(spark):
     report = {(r["key"], r["guard"]): r for r in G.input_report(fixture(spark, "prompts"), "key", "query").collect()}
     assert report["q1", "prompt_injection"]["score"] == 1.0 and report["q5", "prompt_injection"]["verdict"] == "warn" and report["q12", "jailbreak"]["verdict"] == "block"
