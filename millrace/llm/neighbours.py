@@ -37,7 +37,7 @@ def _matrix(packed: pd.Series) -> np.ndarray:
 
 
 def unit_vectors(df: DataFrame, key: str, vector: str, dimensions: int) -> DataFrame:
-    """id, unit (packed floats) of each usable vector once: not null, of ``dimensions`` numbers, not all zero."""
+    """id, unit (packed floats), u (its digest) of each usable vector once: not null, of ``dimensions`` numbers, not all zero."""
     rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & (F.size("v") == dimensions))
 
     @F.pandas_udf("binary")
@@ -50,7 +50,7 @@ def unit_vectors(df: DataFrame, key: str, vector: str, dimensions: int) -> DataF
         return pd.Series([m[i].tobytes() if good[i] else None for i in range(len(m))])
 
     # repeated rows of an id have the same vector
-    return rows.dropDuplicates(["id"]).select("id", pack("v").alias("unit")).filter(F.col("unit").isNotNull())
+    return rows.dropDuplicates(["id"]).select("id", pack("v").alias("unit")).filter(F.col("unit").isNotNull()).withColumn("u", F.unhex(F.md5("unit")))
 
 
 def fit_pivots(sample: np.ndarray, pivots: int, rounds: int = 8) -> np.ndarray:
@@ -144,20 +144,20 @@ def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int = 5, dimensi
     """id, neighbour, cosine, rank (1 to k) of each usable vector.
 
     Null, empty and zero vectors and those of other lengths take no part; repeated rows of an id count
-    once; ties go to the lesser id. Copies are neighbours of each other, at cosine 1. Fewer than k
+    once. Of copies, and of equal cosines within the lists, the lesser id comes first. Copies are neighbours of each other, at cosine 1. Fewer than k
     other vectors: all of them. An empty table gives no rows.
     """
     spark = df.sparkSession
     units = cut(unit_vectors(df, key, vector, dimensions))
     # of a direction's copies the k + 1 least ids can be anyone's neighbours; the limit is applied before the shuffle too
-    of = W.partitionBy("unit").orderBy("id")
-    visible = units.withColumn("nth", F.row_number().over(of)).filter(F.col("nth") <= k + 1)
-    visible = cut(visible)
-    heads = visible.filter("nth = 1").select(F.col("id").alias("head"), "unit")
+    of = W.partitionBy("u").orderBy("id")
+    visible = units.select("id", "u").withColumn("nth", F.row_number().over(of)).filter(F.col("nth") <= k + 1).drop("nth")
+    # a direction is a number from here on; the checkpoint fixes it
+    heads = cut(units.groupBy("u").agg(F.first("unit").alias("unit")).select(F.monotonically_increasing_id().alias("head"), "u", "unit"))
     n = heads.count()
     if not n:
         return spark.createDataFrame([], f"id {units.schema['id'].dataType.simpleString()}, neighbour {units.schema['id'].dataType.simpleString()}, cosine float, rank int")
-    sample = heads.select("unit", F.xxhash64("head").alias("_at")).orderBy("_at").limit(SAMPLE).select("unit").toPandas()
+    sample = heads.select("unit", F.xxhash64("u").alias("_at")).orderBy("_at").limit(SAMPLE).select("unit").toPandas()
     pivots = spark.sparkContext.broadcast(fit_pivots(_matrix(sample["unit"]), int(np.clip(n // CELL, 1, PIVOTS))))
 
     @F.pandas_udf("array<int>")
@@ -180,30 +180,27 @@ def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int = 5, dimensi
     queries = sized.select("cell", "head", "unit", block("query_blocks").alias("query_block"), F.explode(all_blocks("object_blocks")).alias("object_block"), F.lit(False).alias("is_object"))
     objects = sized.filter("probe = 0").select("cell", "head", "unit", F.explode(all_blocks("query_blocks")).alias("query_block"), block("object_blocks").alias("object_block"), F.lit(True).alias("is_object"))
 
-    id_type = units.schema["id"].dataType.simpleString()
-
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("head", kind="stable")
         o, q = frame[frame["is_object"]], frame[~frame["is_object"]]
         if not len(o) or not len(q):
-            return pd.DataFrame({"head": [], "other": [], "cosine": []})
+            return pd.DataFrame({"head": [], "other": [], "cosine": []}, dtype="i8")
         places = pd.Series(np.arange(len(o)), index=o["head"].to_numpy())
         own = places.reindex(q["head"]).fillna(-1).to_numpy(dtype="i8")
         a, b, cosine = collide(_matrix(o["unit"]), _matrix(q["unit"]), k, own)
         return pd.DataFrame({"head": q["head"].to_numpy()[a], "other": o["head"].to_numpy()[b], "cosine": cosine})
 
-    found = queries.unionByName(objects).groupBy("cell", "query_block", "object_block").applyInPandas(search, f"head {id_type}, other {id_type}, cosine float")
+    found = queries.unionByName(objects).groupBy("cell", "query_block", "object_block").applyInPandas(search, "head long, other long, cosine float")
     best = W.partitionBy("head").orderBy(F.desc("cosine"), "other")
     found = found.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k).drop("nth")
-    # heads back to members
-    members = visible.select(F.col("unit").alias("u"), F.col("id").alias("neighbour"), "nth")
-    head_of = heads.select(F.col("unit").alias("u"), "head")
-    shown = members.join(head_of, "u").select(F.col("head").alias("other"), "neighbour")
+    # directions back to ids
+    head_of = heads.select("u", "head")
+    shown = visible.join(head_of, "u").select(F.col("head").alias("other"), F.col("id").alias("neighbour"))
     near = found.join(shown, "other").select("head", "neighbour", "cosine")
     itself = shown.select(F.col("other").alias("head"), "neighbour", F.lit(1.0).cast("float").alias("cosine"))
     best_near = W.partitionBy("head").orderBy(F.desc("cosine"), "neighbour")
     lists = near.unionByName(itself).withColumn("nth", F.row_number().over(best_near)).filter(F.col("nth") <= k + 1).drop("nth")
-    everyone = units.join(head_of, units["unit"] == head_of["u"]).select("id", "head")
+    everyone = units.select("id", "u").join(head_of, "u").select("id", "head")
     final = W.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
     return everyone.join(lists, "head").filter("id <> neighbour").withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k).select("id", "neighbour", "cosine", "rank")
 

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 from millrace.llm.queries import QUERIES, SQL
@@ -12,12 +14,17 @@ def test_equals_its_sql(spark, name):
 
 
 def test_sampled_sentences(spark):
-    """The units of the hand-split documents are those of the sample."""
-    sample = {(r["document_id"], r["char_start"], r["char_end"]) for r in spark.read.parquet(f"{DATA}/sentence_samples.parquet").collect()}
-    ids = {d for d, _, _ in sample}
-    made = {(r["document_id"], r["char_start"], r["char_end"]) for r in QUERIES["p1_sentences"](spark, DATA).collect() if r["document_id"] in ids}
-    assert len(sample & made) >= 0.99 * max(len(sample), len(made))
-    assert not ids & {r["document_id"] for r in QUERIES["p1_found"](spark, DATA).collect()}
+    """The units of the hand-split documents of all small tables are those of the samples, but for a few abbreviations that end a unit."""
+    root = os.path.dirname(DATA)
+    wanted, made = set(), set()
+    for d in (f"{root}/{x}" for x in ("sf0.001", "sf0.01", "sf0.1")):
+        if os.path.isdir(d):
+            sample = {(d, r["document_id"], r["char_start"], r["char_end"]) for r in spark.read.parquet(f"{d}/sentence_samples.parquet").collect()}
+            ids = {x[1] for x in sample}
+            wanted |= sample
+            made |= {(d, r["document_id"], r["char_start"], r["char_end"]) for r in QUERIES["p1_sentences"](spark, d).select("document_id", "char_start", "char_end").collect() if r["document_id"] in ids}
+            assert not ids & {r["document_id"] for r in QUERIES["p1_found"](spark, d).select("document_id").distinct().collect()}
+    assert len(wanted & made) >= 0.998 * max(len(wanted), len(made))
 
 
 def test_mixture_and_containers_are_whole(spark):
