@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import content_tokens, coverage, sentences, strip_citations, tokenize
+from millrace.functions.text import content_tokens, coverage, let, sentences, strip_citations, tokenize
 from millrace.functions.vector import clamp01
 
 BLOCK, WARN = 0.8, 0.45
@@ -80,29 +81,35 @@ def rules_of(group: str) -> list[Rule]:
     return [r for r in RULES if r.group == group]
 
 
-def matches(text: Column, rule: Rule) -> Column:
+def matches(text: Column, rule: Rule, low: Column | None = None) -> Column:
     """Whether the rule's pattern is found. Tried only on texts with one of the words it needs, or with the one letter
-    (long s) that the pattern takes for an s and lower case does not."""
-    low = F.lower(text)
+    (long s) that the pattern takes for an s and lower case does not. ``low``: the text in lower case."""
+    low = F.lower(text) if low is None else low
     words = reduce(Column.__or__, (F.contains(low, F.lit(w)) for w in (*NEEDED[rule.name].split(), "ſ")))
     return words & text.rlike(f"(?iu){rule.pattern}")
 
 
+def _by_rule(text: Column, group: str, value: Callable[[Column, Rule], Column]) -> Column:
+    """``value`` of each rule of the group that matches, in their order; the lower case is made once."""
+    both = F.struct(text.alias("t"), F.lower(text).alias("l"))
+    return let(both, lambda x: F.array_compact(F.array(*(F.when(matches(x["t"], r, x["l"]), value(x["t"], r)) for r in rules_of(group)))))
+
+
 def rule_hits(text: Column, group: str) -> Column:
     """Names of the group's rules that match, in their order."""
-    return F.array_compact(F.array(*(F.when(matches(text, r), F.lit(r.name)) for r in rules_of(group))))
+    return _by_rule(text, group, lambda _, r: F.lit(r.name))
 
 
 def rule_score(text: Column, group: str) -> Column:
     """The sum of the matching rules' weights, at most 1."""
-    weights = [F.when(matches(text, r), F.lit(r.weight)).otherwise(0.0) for r in rules_of(group)]
-    return F.least(F.lit(1.0), F.round(reduce(Column.__add__, weights), 4))
+    weights = _by_rule(text, group, lambda _, r: F.lit(r.weight))
+    return F.least(F.lit(1.0), F.round(F.aggregate(weights, F.lit(0.0), lambda s, w: s + w), 4))
 
 
 def rule_evidence(text: Column, group: str) -> Column:
     """name: snippet (white space collapsed, 120 characters) of each rule that matches."""
-    rows = [F.when(matches(text, r), F.concat(F.lit(f"{r.name}: "), F.substring(F.trim(F.regexp_replace(F.regexp_substr(text, F.lit(f"(?iu){r.pattern}")), r"\s+", " ")), 1, 120))) for r in rules_of(group)]
-    return F.array_compact(F.array(*rows))
+    snippet = lambda t, r: F.substring(F.trim(F.regexp_replace(F.regexp_substr(t, F.lit(f"(?iu){r.pattern}")), r"\s+", " ")), 1, 120)
+    return _by_rule(text, group, lambda t, r: F.concat(F.lit(f"{r.name}: "), snippet(t, r)))
 
 
 def verdict(score: Column) -> Column:
