@@ -5,7 +5,7 @@ and a query in several. In a cell every random projection is one sorted array. A
 projection a window expands level by level (virtual rehashing: the radius grows, nothing is hashed
 again); objects that fall into the windows of enough projections are verified by their exact cosine.
 A query ends at the first level whose radius holds its k best; the last level's windows hold the
-whole cell, so no query ends short.
+whole cell. A query looks into every cell whose pivot is nearly as near as its nearest (``nearest_cells``).
 
 Copies of one direction are one vector with members. Cells are split into blocks of bounded size, so
 that crowded ones are shared by many tasks.
@@ -23,8 +23,10 @@ from millrace.plans.lineage import cut
 
 #: Bounds of the fit: vectors in the sample, pivots. Every vector is indexed.
 SAMPLE, PIVOTS = 16_384, 2_048
-#: Vectors a cell on average, cells that each query looks into, objects and queries in a block.
-CELL, PROBES, OBJECTS, QUERIES = 400, 5, 4_096, 8_192
+#: Vectors a cell on average, objects and queries in a block.
+CELL, OBJECTS, QUERIES = 400, 4_096, 8_192
+#: Cells that each query looks into: at least so many, and all whose pivot is nearly as near as the nearest (in cosine).
+PROBES, GAP = 5, 0.28
 #: Projections, the windows' half width in radii, and the share of projections in which an object must collide.
 PROJECTIONS, HALF_WIDTH, THRESHOLD = 32, 1.3, 0.66
 #: Radii of the levels as distances between unit vectors; the last holds everything.
@@ -69,6 +71,18 @@ def fit_pivots(sample: np.ndarray, pivots: int, rounds: int = 8) -> np.ndarray:
     return centres.astype("f4")
 
 
+def nearest_cells(vectors: np.ndarray, pivots: np.ndarray, probes: int) -> list[np.ndarray]:
+    """The cells that each vector looks into, of the nearest pivot first. Their number has no bound: it grows with the
+    number of cells, and for vectors that lie between many pivots; a fixed one loses recall as cells become narrower."""
+    out = []
+    for part in np.array_split(vectors, max(1, len(vectors) // 1024)):
+        near = part @ pivots.T
+        order = np.argsort(-near, axis=1, kind="stable").astype("i4")
+        wide = np.maximum(probes, (near >= near.max(axis=1, keepdims=True) - GAP).sum(axis=1))
+        out += [cells[:n] for cells, n in zip(order, wide)]
+    return out
+
+
 def collide(objects: np.ndarray, queries: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, object, cosine) of the best k objects of each query. ``own``: the object that a query itself is, or -1."""
     rng = np.random.default_rng(SEED)
@@ -162,11 +176,7 @@ def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int = 5, dimensi
 
     @F.pandas_udf("array<int>")
     def cells_of(packed: pd.Series) -> pd.Series:
-        near = _matrix(packed) @ pivots.value.T
-        t = min(probes, near.shape[1])
-        top = np.argpartition(-near, t - 1, axis=1)[:, :t]
-        top = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
-        return pd.Series(list(top.astype("i4")))
+        return pd.Series(nearest_cells(_matrix(packed), pivots.value, probes))
 
     placed = cut(heads.select("head", "unit", cells_of("unit").alias("cells")))
     asked = placed.select("head", "unit", F.posexplode("cells").alias("probe", "cell"))

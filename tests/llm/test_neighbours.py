@@ -1,5 +1,6 @@
 import numpy as np
 
+from millrace.llm import neighbours
 from millrace.llm.neighbours import mutual_pairs, nearest_neighbours
 
 
@@ -28,6 +29,18 @@ def test_recall_against_brute_force(spark):
     assert {tuple(r) for r in mutual_pairs(nearest_neighbours(df, "id", "vector"), 0.92).collect()} == want
 
 
+def test_recall_with_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL", 10)  # 300 cells
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((10, 96))[rng.integers(0, 10, 3000)] + rng.standard_normal((3000, 96)) * 1.2
+    found = nearest_neighbours(table(spark, v), "id", "vector").toPandas()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    kth = np.sort(s, axis=1)[:, -5]
+    assert sum(c >= kth[int(i[1:])] - 1e-5 for i, c in zip(found["id"], found["cosine"])) / (5 * 3000) >= 0.9
+
+
 def test_copies_unusable_and_repeated(spark):
     a, b = [1.0] + [0.0] * 95, [0.9, 0.4] + [0.0] * 94
     df = table(spark, [a, a, [2 * x for x in a], b, None, [], [0.0] * 96, [1.0], [float("nan")] * 96], list("abcdefghi")).unionByName(table(spark, [a], ["a"]))
