@@ -244,9 +244,11 @@ def arm_agreement(spark: SparkSession, d: str) -> DataFrame:
     return H.arm_agreement(_fused(spark, d)).select("query_id", F.round("agreement", 9).alias("agreement"))
 
 
-def _candidates(spark: SparkSession, d: str, k: int = K) -> DataFrame:
+def _candidates(spark: SparkSession, d: str, k: int | None = K) -> DataFrame:
+    """The best k fused candidates with their texts; without k all of them."""
     chunks = _chunks(spark, d).select("id", "text", "document_id", "parent_chunk", "source", "language", "topic")
-    return _fused(spark, d).filter(F.col("rank") <= k).join(chunks, "id").join(_cases(spark, d).select("query_id", "query"), "query_id")
+    fused = _fused(spark, d)
+    return (fused if k is None else fused.filter(F.col("rank") <= k)).join(chunks, "id").join(_cases(spark, d).select("query_id", "query"), "query_id")
 
 
 def _reranked(spark: SparkSession, d: str) -> DataFrame:
@@ -262,7 +264,7 @@ def heuristic_rerank(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def mmr_select(spark: SparkSession, d: str) -> DataFrame:
-    return H.maximal_marginal_relevance(_candidates(spark, d, 2 * K), K)
+    return H.maximal_marginal_relevance(_candidates(spark, d, None), K)
 
 
 @query

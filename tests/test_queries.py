@@ -40,6 +40,22 @@ def test_chunks_cover_their_passages(spark):
     assert chunks.select("document_id").distinct().count() == with_text and chunks.count() == chunks.select("id").distinct().count()
 
 
+def test_mmr_select_chooses_among_all_that_fusion_gives(spark):
+    from millrace import queries as Q
+    from millrace.operators.hybrid import diversify
+
+    texts = dict(Q._chunks(spark, DATA).select("id", "text").collect())
+    lists = {}
+    for r in Q._fused(spark, DATA).orderBy("query_id", "rank").collect():
+        lists.setdefault(r["query_id"], []).append(r)
+    assert max(map(len, lists.values())) > 2 * Q.K
+    want = set()
+    for q, rows in lists.items():
+        order = diversify([r["fused_score"] for r in rows], [texts[r["id"]] for r in rows], Q.K, 0.7) if len(rows) > Q.K else range(len(rows))
+        want |= {(q, rows[i]["id"], n) for n, i in enumerate(order, 1)}
+    assert {tuple(r) for r in QUERIES["mmr_select"](spark, DATA).collect()} == want
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
