@@ -184,10 +184,11 @@ def snippet_of(html: Column, limit: int = 800) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(cut, F.lit("…")))
 
 
-def speech_text(text: Column, limit: int = 2500) -> Column:
-    """What is read aloud: no code blocks, citation marks, link targets and markup."""
+def speech_text(text: Column, limit: int | None = 2500) -> Column:
+    """What is read aloud: no code blocks, citation marks, link targets and markup. Without a limit the whole of it."""
     steps = ((r"```[\s\S]*?```", " "), (r"\[\d+\](\[\d+\])*", " "), (r"!?\[([^\]]*)\]\([^)]*\)", "$1"), (r"[*_~`>#|]", " "), (f"{SPACE}+", " "))
-    return F.substring(strip(reduce(lambda t, s: F.regexp_replace(t, *s), steps, text)), 1, limit)
+    spoken = strip(reduce(lambda t, s: F.regexp_replace(t, *s), steps, text))
+    return spoken if limit is None else F.substring(spoken, 1, limit)
 
 
 def strip_citations(text: Column) -> Column:

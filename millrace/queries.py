@@ -178,7 +178,7 @@ def speech_pieces(spark: SparkSession, d: str) -> DataFrame:
     def pieces(texts):
         return texts.map(lambda t: C.speech_chunks(t or ""))
 
-    rows = read_table(spark, d, "documents").select("doc_id", F.posexplode(pieces(X.speech_text(F.coalesce("text", F.lit(""))))).alias("piece", "t"))
+    rows = read_table(spark, d, "documents").select("doc_id", F.posexplode(pieces(X.speech_text(F.coalesce("text", F.lit("")), None))).alias("piece", "t"))
     return rows.select("doc_id", "piece", F.length("t").alias("chars"), F.md5("t").alias("digest"))
 
 

@@ -56,6 +56,13 @@ def test_mmr_select_chooses_among_all_that_fusion_gives(spark):
     assert {tuple(r) for r in QUERIES["mmr_select"](spark, DATA).collect()} == want
 
 
+def test_speech_pieces_cover_long_texts(spark, tmp_path):
+    text = "The wheel turns and the grain is ground. " * 200
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    chars = [r["chars"] for r in QUERIES["speech_pieces"](spark, str(tmp_path)).collect()]
+    assert sum(chars) >= 0.95 * len(text)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
