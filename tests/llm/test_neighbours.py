@@ -58,3 +58,39 @@ def test_more_copies_than_neighbours(spark):
 def test_empty_and_single(spark):
     assert nearest_neighbours(table(spark, [[1.0] * 96]).limit(0), "id", "vector").count() == 0
     assert nearest_neighbours(table(spark, [[1.0] * 96]), "id", "vector").count() == 0
+
+
+def test_regions_and_blocks(spark, monkeypatch):
+    """Many regions, each a grid of blocks, give the lists that one region gives, but for what the fit loses."""
+    monkeypatch.setattr(neighbours, "CELL", 20)
+    monkeypatch.setattr(neighbours, "REGION", 400)
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 250)
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((20, 96))[rng.integers(0, 20, 2000)] + rng.standard_normal((2000, 96)) * 0.8
+    found = nearest_neighbours(table(spark, v), "id", "vector").toPandas()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    kth = np.sort(s, axis=1)[:, -5]
+    assert len(found) == 5 * 2000 and not found.duplicated(["id", "neighbour"]).any() and (found["id"] != found["neighbour"]).all()
+    assert sum(c >= kth[int(i[1:])] - 1e-5 for i, c in zip(found["id"], found["cosine"])) / (5 * 2000) >= 0.95
+
+
+def test_collisions_exclude_and_verify():
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((80, 96))[rng.integers(0, 80, 8000)] + rng.standard_normal((8000, 96)) * 0.7
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype("f4")
+    met = []
+    inner = neighbours._verify
+
+    def count(objects, queries, active, found, *rest):
+        met.append(len(active) * len(found))
+        inner(objects, queries, active, found, *rest)
+
+    neighbours._verify = count
+    try:
+        a, b, c = neighbours.collide(v, v, 5, np.arange(len(v)))
+    finally:
+        neighbours._verify = inner
+    assert sum(met) < 0.7 * len(v) ** 2  # the more a block holds, the smaller the share that is verified
+    assert np.allclose((v[a] * v[b]).sum(axis=1), c, atol=1e-5) and (a != b).all()
