@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.text import estimate_tokens
-from millrace.llm.canonical import canonical_text, look_alike_pairs
+from millrace.llm.canonical import canonical_text, look_alike_classes, look_alike_pairs
 from millrace.llm.mixing import canonical_source, mix_sources
 from millrace.llm.neighbours import mutual_pairs, nearest_neighbours
 from millrace.llm.oracles import SQL as SQL
@@ -106,10 +106,18 @@ def p4_totals(spark: SparkSession, d: str) -> DataFrame:
     return token_totals(rows, slices)
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
+def _texts(spark: SparkSession, d: str) -> DataFrame:
     documents = read_table(spark, d, "source_documents").select(F.lit("document").alias("kind"), F.col("document_id").alias("id"), "text")
     chunks = read_table(spark, d, "chunks").select(F.lit("chunk").alias("kind"), "id", "text")
-    return look_alike_pairs(documents.unionByName(chunks), "kind", "id")
+    return documents.unionByName(chunks)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return look_alike_pairs(_texts(spark, d), "kind", "id")
+
+
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    return look_alike_classes(_texts(spark, d), "kind", "id")
 
 
 def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
@@ -171,5 +179,5 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_sentences, p2_found, p2_daily, p2_weekly, p3_found, p3_neighbours, p4_found, p4_tokens, p4_totals, p5_found, p5_canonical, p6_found, p6_pieces, p7_found, p7_containers, p8_found, p8_shares, p8_mixture, p9_found, p9_shared)
+    for f in (p1_found, p1_sentences, p2_found, p2_daily, p2_weekly, p3_found, p3_neighbours, p4_found, p4_tokens, p4_totals, p5_found, p5_classes, p5_canonical, p6_found, p6_pieces, p7_found, p7_containers, p8_found, p8_shares, p8_mixture, p9_found, p9_shared)
 }
