@@ -79,9 +79,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """The estimate comes from the pieces' characters, as the trie counts them, summed by text."""
+    """The estimate comes from the pieces' characters, which the trie carries beside the token states, summed by text."""
     chunks = read_table(spark, d, "chunks").select("id", "text", "token_count")
-    estimates = count_tokens(chunks.dropDuplicates(["id"]), "id", vocabulary=None).select("id", "estimate")
+    estimates = count_tokens(chunks.dropDuplicates(["id"]), "id").filter("tokens IS NOT NULL").select("id", "estimate")
     wrong = F.col("token_count").isNull() | (F.abs(F.col("token_count") - F.col("estimate")) > 0.25 * F.col("estimate"))
     return chunks.select("id", "token_count").join(estimates, "id").filter(wrong).select(F.col("id").alias("chunk_id")).distinct()
 

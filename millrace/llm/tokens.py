@@ -3,7 +3,9 @@
 Texts fall into pieces by the tokenizer's pattern (in the JVM). Distinct pieces are partitioned by
 their first characters and sorted, which makes every partition a prefix trie walked depth first: the
 exact tokenization state of a shared prefix (the last token and the number of tokens at each byte) is
-carried on, and only what a piece adds is computed. The terminal counts are joined to the documents.
+carried on, and only what a piece adds is computed. The terminal counts are joined to the documents: those of the
+commonest pieces, of which the number is bounded, are broadcast and summed where the text lies, so that no piece is
+hot in a shuffle; of the others each text sends every distinct piece once.
 
 State: of a prefix, the one token that can end its encoding. Token b may follow token a if encoding
 their bytes together gives them back; an encoding is right if all its neighbours may follow each
@@ -30,8 +32,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{IsWhite_Space}\p{L}\p{N}]+|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
 #: Characters of a piece by which pieces are partitioned.
 PREFIX = 4
-#: Distinct pieces of which the counts are broadcast, with 150 bytes each.
-BROADCAST_PIECES = 1_000_000
+#: The most pieces, the commonest, of which the counts are broadcast, with some 60 bytes each.
+COMMON_PIECES = 500_000
 
 
 class Bpe:
@@ -142,7 +144,7 @@ def _keys(column: str, first: str, second: str) -> list[Column]:
 
 
 def trie_counts(pieces: DataFrame, vocabulary: str | None) -> DataFrame:
-    """h, g, tokens, chars, dense of each distinct ``piece``. Tokens is null without a vocabulary."""
+    """h, g, n, tokens, chars, dense of each distinct ``piece`` (with n, h, g). Tokens is null without a vocabulary."""
     spread = pieces.repartition(F.substring("piece", 1, PREFIX)).sortWithinPartitions("piece")
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,9 +168,22 @@ def trie_counts(pieces: DataFrame, vocabulary: str | None) -> DataFrame:
                 chars.append(len(piece))
                 denses.append(dense[-1])
                 before = piece
-            yield pd.DataFrame({"h": frame["h"], "g": frame["g"], "tokens": pd.array(tokens if bpe else [None] * len(frame), dtype="Int32"), "chars": chars, "dense": denses})
+            yield pd.DataFrame({"h": frame["h"], "g": frame["g"], "n": frame["n"], "tokens": pd.array(tokens if bpe else [None] * len(frame), dtype="Int32"), "chars": chars, "dense": denses})
 
-    return spread.mapInPandas(walk, "h long, g int, tokens int, chars int, dense int")
+    return spread.mapInPandas(walk, "h long, g int, n long, tokens int, chars int, dense int")
+
+
+def _common_from(counts: DataFrame) -> int:
+    """The least number of occurrences, a power of two, that no more than COMMON_PIECES pieces have."""
+    power = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
+    sizes = {r["power"]: r["pieces"] for r in counts.groupBy(power.alias("power")).agg(F.count(F.lit(1)).alias("pieces")).collect()}  # 63 rows at most
+    taken, least = 0, 1 << (max(sizes, default=0) + 1)
+    for p in sorted(sizes, reverse=True):
+        taken += sizes[p]
+        if taken > COMMON_PIECES:
+            break
+        least = 1 << p
+    return least
 
 
 def count_tokens(df: DataFrame, key: str, text: str = "text", vocabulary: str | None = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:
@@ -179,13 +194,19 @@ def count_tokens(df: DataFrame, key: str, text: str = "text", vocabulary: str |
     """
     texts = df.select(F.col(key).alias("key"), *_keys(key, "a", "b"), F.col(text).alias("text"))
     occurring = texts.select("a", "b", F.explode(piece_column(F.col("text"))).alias("piece"))
-    distinct = occurring.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).select("piece", *_keys("piece", "h", "g"))
+    distinct = occurring.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).select("piece", "n", *_keys("piece", "h", "g"))
     counts = cut(trie_counts(distinct, vocabulary))
-    # keys and pieces travel as 96 bits each
-    terms = occurring.select("a", "b", *_keys("piece", "h", "g"))
-    # a vocabulary of a checked size is broadcast, so that each text is summed where it lies; beyond it both sides are shuffled
-    joined = terms.join(F.broadcast(counts) if counts.count() <= BROADCAST_PIECES else counts, ["h", "g"])
-    summed = joined.groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in ("tokens", "chars", "dense")))
+    least = _common_from(counts)
+    measures = ("tokens", "chars", "dense")
+    common = counts.filter(F.col("n") >= least).select("h", "g", *measures, F.lit(True).alias("common"))
+    # keys and pieces travel as 96 bits each; a text's common pieces are one row, each of its other pieces another
+    terms = occurring.select("a", "b", *_keys("piece", "h", "g")).join(F.broadcast(common), ["h", "g"], "left")
+    # the row of common pieces has no piece: it goes by its text, and finds no count
+    piece = [F.when(F.col("common"), F.col("a")).otherwise(F.col("h")).alias("h"), F.when(F.col("common").isNull(), F.col("g")).alias("g")]
+    held = terms.select("a", "b", *piece, *measures).groupBy("a", "b", "h", "g").agg(F.count(F.lit(1)).alias("times"), *(F.sum(c).alias(f"_{c}") for c in measures))
+    rare = counts.filter(F.col("n") < least).select("h", "g", *measures)
+    joined = held.join(rare, ["h", "g"], "left")
+    summed = joined.groupBy("a", "b").agg(*(F.sum(F.coalesce(F.col(c) * F.col("times"), F.col(f"_{c}"))).alias(c) for c in measures))
     filled = texts.select("key", "a", "b").join(summed, ["a", "b"], "left").select(
         "key", (F.coalesce("tokens", F.lit(0)) if vocabulary else F.col("tokens")).cast("long").alias("tokens"), F.coalesce("chars", F.lit(0)).alias("chars"), F.coalesce("dense", F.lit(0)).alias("dense_chars")
     )

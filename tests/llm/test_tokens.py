@@ -18,9 +18,9 @@ def reference():
 
 
 @needs
-@pytest.mark.parametrize("broadcast", [1_000_000, 0])
-def test_counts_equal_the_tokenizer(spark, monkeypatch, broadcast):
-    monkeypatch.setattr("millrace.llm.tokens.BROADCAST_PIECES", broadcast)
+@pytest.mark.parametrize("common", [1_000_000, 12, 0])
+def test_counts_equal_the_tokenizer(spark, monkeypatch, common):
+    monkeypatch.setattr("millrace.llm.tokens.COMMON_PIECES", common)
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)], "id int, text string, tokens string")
     got = {r["id"]: r for r in count_tokens(df, "id").collect()}
     enc = reference()
