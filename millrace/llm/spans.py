@@ -2,13 +2,14 @@
 
 Candidates come from content-defined anchors: of every window of consecutive GRAM-character grams the
 one of least hash is an anchor, so any two records that share ``least`` characters share an anchor in
-them. Anchors that recur are confirmed on the texts around them, which gives the recurring passages.
-These are compiled into sharded Aho-Corasick automata, through which all documents stream, and every
-occurrence of every passage is located.
-
-Shuffled are anchors (a few per cent of the characters) and the surroundings of recurring ones. No
-group of records is ever in one task: contexts are grouped by their own text, and anchors with many
-different contexts are compared window by window, by hash.
+them. Anchors that recur are confirmed on the texts around them: every window of ``least`` characters that holds
+the anchor and stands in two documents, neighbouring windows of the same contexts as one passage. Passages are
+compiled into sharded Aho-Corasick automata, and every occurrence in every document that has one is located: documents
+are spread over parts, and an automaton of a part holds the passages whose anchors its documents have.
+
+Shuffled are anchors (a few per cent of the characters), the surroundings of recurring ones, and the texts of documents
+with a recurring anchor. No group of records is ever in one task: contexts are grouped by their own text, and those of
+an anchor that has many are compared in a shuffle by the hashes of their windows, with the same result.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ from pyspark.sql import functions as F
 from millrace.plans.lineage import cut
 
 LEAST, GRAM = 200, 100
-#: Anchors with more different contexts than this are compared by the hashes of their windows.
-CONTEXTS = 48
+#: Anchors with more different contexts than one task compares: theirs are compared in a shuffle.
+CONTEXTS = 400
 #: Characters of passages that one automaton holds.
 SHARD_CHARS = 1_500_000
-#: Characters hashed at a time, and documents that go through one automaton in a task.
-BLOCK_CHARS, SHARD_DOCS = 1_000_000, 4_000
+#: Characters hashed at a time, and characters of the documents of a part.
+BLOCK_CHARS, PART_CHARS = 1_000_000, 4_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -105,30 +106,25 @@ def _anchor_rows(docs: DataFrame, least: int, gram: int) -> DataFrame:
     return docs.mapInPandas(find, "anchor long, doc long, at int")
 
 
-def _passage(a: str, la: int, b: str, lb: int, least: int, gram: int) -> str | None:
-    """The longest run that two contexts share around their anchors, if it is long enough."""
-    left = 0
-    most = min(la, lb)
-    while left < most and a[la - left - 1] == b[lb - left - 1]:
-        left += 1
-    right = gram
-    most = min(len(a) - la, len(b) - lb)
-    while right < most and a[la + right] == b[lb + right]:
-        right += 1
-    return a[la - left : la + right] if left + right >= least else None
-
-
 def _recurring(docs: DataFrame, least: int, gram: int) -> DataFrame:
     """doc, places: the anchors of each document that other documents have too. Documents without any are not in it."""
-    found = _anchor_rows(docs, least, gram)
+    found = cut(_anchor_rows(docs, least, gram))
     recurring = found.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("anchor")
-    # at most as many as the document is long
+    # at most as many as the document is long; a hot anchor's rows are on the left, where the engine splits them
     return cut(found.join(recurring, "anchor", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("anchor", "at")).alias("places")))
 
 
-def recurring_passages(docs: DataFrame, places: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
+def _windows(left: int, size: int, least: int, gram: int) -> range:
+    """Where the windows of a context start that hold its anchor, from the anchor's place."""
+    return range(max(-left, gram - least), min(0, size - left - least) + 1)
+
+
+def recurring_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """anchor, passage: texts of at least ``least`` characters, each with an anchor it holds, such that any
-    two documents that share a run of that length share one of them."""
+    two documents that share a run of that length share one of them. docs: doc, text, places.
+
+    A passage is a longest run of windows around an anchor that the same contexts hold, of two documents at least.
+    """
     around = least - gram
 
     @F.pandas_udf("array<struct<anchor:long,left:int,context:string>>")
@@ -142,24 +138,33 @@ def recurring_passages(docs: DataFrame, places: DataFrame, least: int = LEAST, g
             out.append(rows)
         return pd.Series(out, dtype=object)
 
-    contexts = docs.join(places, "doc").select("doc", F.explode(contexts_of("text", "places")).alias("c")).select("doc", "c.*")
+    contexts = docs.select("doc", F.explode(contexts_of("text", "places")).alias("c")).select("doc", "c.*")
     # copies of a context count once: combined before the shuffle
     classes = cut(contexts.groupBy("anchor", "context", "left").agg(F.min("doc").alias("a"), F.max("doc").alias("b")))
-    sized = classes.join(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")), "anchor")
+    counted = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts"), F.min("a").alias("first"), F.max("b").alias("last"))
+    # hot anchors are on the left, where the engine splits them
+    sized = classes.join(counted.filter(F.col("first") < F.col("last")).select("anchor", "contexts"), "anchor")
 
     def confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Anchor by anchor, as they come sorted; one may run over from frame to frame."""
         held: list[tuple] = []
 
         def give() -> pd.DataFrame:
-            found = set()
-            for i, (anchor, x, left, a, b) in enumerate(held):
-                if a < b and len(x) >= least:
-                    found.add((anchor, x))
-                for _, y, other, c, d in held[i + 1 :]:
-                    if (a, b) != (c, d) or a < b:
-                        found.add((anchor, _passage(x, left, y, other, least, gram)))
-            return pd.DataFrame([f for f in found if f[1] is not None], columns=["anchor", "passage"])
+            members: dict[tuple, list[int]] = {}
+            for i, (_, x, left, _, _) in enumerate(held):
+                for w in _windows(left, len(x), least, gram):
+                    members.setdefault((w, x[left + w : left + w + least]), []).append(i)
+            runs: dict[tuple, list[int]] = {}  # windows of each set of contexts
+            for (w, _), who in members.items():
+                if min(held[i][3] for i in who) < max(held[i][4] for i in who):
+                    runs.setdefault(tuple(who), []).append(w)
+            out = []
+            for who, at in runs.items():
+                anchor, x, left, _, _ = held[who[0]]
+                at = np.sort(np.array(at))
+                for run in np.split(at, np.flatnonzero(np.diff(at) != 1) + 1):
+                    out.append((anchor, x[left + run[0] : left + run[-1] + least]))
+            return pd.DataFrame(out, columns=["anchor", "passage"])
 
         for frame in frames:
             for row in zip(frame["anchor"], frame["context"], frame["left"], frame["a"], frame["b"]):
@@ -173,45 +178,50 @@ def recurring_passages(docs: DataFrame, places: DataFrame, least: int = LEAST, g
     few = sized.filter(F.col("contexts") <= CONTEXTS).drop("contexts").repartition("anchor").sortWithinPartitions("anchor", "context", "left")
     confirmed = few.select("anchor", "context", "left", "a", "b").mapInPandas(confirm, "anchor long, passage string")
 
-    # many contexts: every window that holds the anchor, equal ones found by grouping, of which no task holds all
-    start = F.greatest(F.lit(0), F.col("left") + F.lit(gram - least))
-    stop = F.least("left", F.length("context") - F.lit(least))
-    many = sized.filter((F.col("contexts") > CONTEXTS) & (stop >= start)).select("anchor", "a", "b", "context", F.explode(F.sequence(start, stop)).alias("s"))
-    windowed = many.groupBy("anchor", F.expr(f"substring(context, s + 1, {least})").alias("passage")).agg(F.min("a").alias("a"), F.max("b").alias("b")).filter("a < b").select("anchor", "passage")
+    # many contexts: windows are grouped by hash, then those of one set of contexts to runs; no task holds an anchor's contexts
+    start, stop = F.greatest(-F.col("left"), F.lit(gram - least)), F.least(F.lit(0), F.length("context") - F.col("left") - F.lit(least))
+    many = sized.filter((F.col("contexts") > CONTEXTS) & (stop >= start)).withColumn("id", F.xxhash64("anchor", "context", "left"))
+    window = F.expr(f"substring(context, left + w + 1, {least})")
+    each = many.select("anchor", "id", "a", "b", "context", "left", F.explode(F.sequence(start, stop)).alias("w")).select("anchor", "id", "a", "b", "w", F.xxhash64(window).alias("h"), F.hash(window).alias("g"))
+    who = (F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who"), F.min("id").alias("id"), F.min("a").alias("a"), F.max("b").alias("b"))
+    shared = each.groupBy("anchor", "w", "h", "g").agg(*who).filter("a < b")
+    # windows of a set: as many as a context has at most
+    sets = shared.groupBy("anchor", "id", "n", "who").agg(F.array_sort(F.collect_list("w")).alias("at"))
+    firsts, lasts = F.filter("at", lambda w: ~F.array_contains("at", w - 1)), F.filter("at", lambda w: ~F.array_contains("at", w + 1))
+    runs = sets.select("anchor", "id", F.explode(F.arrays_zip(firsts.alias("s"), lasts.alias("e"))).alias("r"))
+    passage = F.expr(f"substring(context, left + r.s + 1, r.e - r.s + {least})")
+    windowed = runs.join(many.select("id", "context", "left"), "id").select("anchor", passage.alias("passage"))
     return confirmed.unionByName(windowed)
 
 
-def locate_passages(docs: DataFrame, places: DataFrame, passages: DataFrame) -> DataFrame:
-    """passage_id, doc, char_start, char_end of every occurrence of every passage in every document.
+def locate_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """passage_id, doc, char_start, char_end of every occurrence of every passage in every document. docs: doc, text, places.
 
-    Passages are sharded by their anchor so that an automaton holds about SHARD_CHARS characters. A
-    document goes through the automata of the shards that its anchors fall in (without an anchor of a
-    passage it cannot hold it), and a shard's documents are spread over tasks by a salt.
+    Documents are spread over parts of about PART_CHARS characters. A part gets the passages of the anchors its documents
+    have (without an anchor of a passage a document cannot hold it), each once, in automata of about SHARD_CHARS characters.
     """
     ids = cut(passages.distinct().withColumn("passage_id", F.xxhash64("passage")))
-    total = ids.agg(F.coalesce(F.sum(F.length("passage")), F.lit(0)).alias("chars")).first()["chars"]
-    shards = max(1, -(-int(total) // SHARD_CHARS))
-    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard")
-    routed = places.select("doc", F.explode("places.anchor").alias("anchor")).select("doc", shard).distinct()
-    spread = routed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARD_DOCS)).cast("int").alias("salts"))
-    machines = ids.select(shard, "passage_id", "passage").join(spread, "shard").select("shard", "passage_id", "passage", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    texts = routed.join(spread, "shard").withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int")).drop("salts").join(docs, "doc")
+    total = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()["chars"]
+    parted = docs.withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(max(1, -(-int(total) // PART_CHARS)))).cast("int"))
+    routed = parted.select("part", F.explode("places.anchor").alias("anchor")).distinct()
+    wanted = routed.join(ids, "anchor").groupBy("part", "passage_id").agg(F.first("passage").alias("passage"))
 
     def stream(words: pd.DataFrame, frame: pd.DataFrame) -> pd.DataFrame:
         import ahocorasick
 
-        machine = ahocorasick.Automaton()
-        for pid, passage in zip(words["passage_id"].tolist(), words["passage"].tolist()):
-            machine.add_word(passage, (pid, len(passage)))
-        machine.make_automaton()
-        rows = []
-        for doc, text in zip(frame["doc"].tolist(), frame["text"].tolist()) if len(words) else ():
-            rows += [(pid, doc, end + 1 - n, end + 1) for end, (pid, n) in machine.iter(text)]
-        return pd.DataFrame(rows, columns=["passage_id", "doc", "char_start", "char_end"])
+        found = []
+        words = words.sort_values("passage_id")
+        for _, own in words.groupby(words["passage"].str.len().cumsum() // SHARD_CHARS):
+            machine = ahocorasick.Automaton()
+            for pid, passage in zip(own["passage_id"].tolist(), own["passage"].tolist()):
+                machine.add_word(passage, (pid, len(passage)))
+            machine.make_automaton()
+            for doc, text in zip(frame["doc"].tolist(), frame["text"].tolist()):
+                found += [(pid, doc, end + 1 - n, end + 1) for end, (pid, n) in machine.iter(text)]
+        return pd.DataFrame(found, columns=["passage_id", "doc", "char_start", "char_end"])
 
-    keys = ("shard", "salt")
-    found = machines.groupBy(*keys).cogroup(texts.select(*keys, "doc", "text").groupBy(*keys)).applyInPandas(stream, "passage_id long, doc long, char_start int, char_end int")
-    return found.distinct() if shards > 1 else found  # a passage of two anchors may be in two shards
+    texts = parted.select(F.col("part").alias("of_part"), "doc", "text")
+    return wanted.groupBy("part").cogroup(texts.groupBy("of_part")).applyInPandas(stream, "passage_id long, doc long, char_start int, char_end int")
 
 
 def shared_occurrences(df: DataFrame, key: str, text: str = "text", least: int = LEAST) -> DataFrame:
@@ -223,8 +233,8 @@ def shared_occurrences(df: DataFrame, key: str, text: str = "text", least: int =
     """
     gram = least // 2
     docs = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).filter(F.col("doc").isNotNull() & (F.length("text") >= least))
-    places = _recurring(docs, least, gram)
-    located = cut(locate_passages(docs, places, recurring_passages(docs, places, least, gram)))
+    marked = cut(docs.join(_recurring(docs, least, gram), "doc"))
+    located = cut(locate_passages(marked, recurring_passages(marked, least, gram)))
     shared = located.groupBy("passage_id").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("passage_id")
     return located.join(shared, "passage_id", "left_semi")
 

@@ -51,12 +51,19 @@ def test_against_brute_force(spark, monkeypatch, contexts):
 
 def test_shards_and_salts(spark, monkeypatch):
     monkeypatch.setattr(S, "SHARD_CHARS", 200)
-    monkeypatch.setattr(S, "SHARD_DOCS", 3)
+    monkeypatch.setattr(S, "PART_CHARS", 300)
     docs = corpus(5)
     df = spark.createDataFrame(docs, "id long, text string")
     assert {tuple(r) for r in S.sharing_pairs(S.shared_occurrences(df, "id", least=40)).collect()} == brute(docs, 40)[0]
 
 
+def test_many_contexts_give_the_same_occurrences(spark, monkeypatch):
+    df = spark.createDataFrame(corpus(8, n=60), "id long, text string")
+    few = sorted(map(tuple, S.shared_occurrences(df, "id", least=40).collect()))
+    monkeypatch.setattr(S, "CONTEXTS", 2)
+    assert sorted(map(tuple, S.shared_occurrences(df, "id", least=40).collect())) == few and len(few) > 100
+
+
 def test_hashes_and_anchors():
     text = "the mill and the mill and the mill race " * 10
     h = S.gram_hashes(S._codes(text), 20)
