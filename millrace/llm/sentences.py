@@ -8,7 +8,8 @@ database, so that every script's terminators are covered), tailored by
 * quotations: one that opens a unit runs on, one after other words that holds
   the closing mark ends the unit,
 * brackets: a bracket inside a unit never ends it, a unit wholly in brackets is one,
-* ellipses, list items, blank lines, and Thai, which has spaces for terminators.
+* ellipses, list items, blank lines, and Thai and Lao, which have spaces for terminators and are told by
+  their letters, whatever the language tag says.
 
 The operator is a narrow map: no shuffle but the removal of repeated rows.
 """
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import free_name
@@ -38,7 +39,14 @@ ABBREVIATIONS = {
     "tam_Taml": "திரு ரூ எண் டாக் பேரா",
     "guj_Gujr": "પ્રો રૂ ડૉ નં શ્રી",
     "urd_Arab": "ص ج ڈاکٹر",
+    "kan_Knda": "ಡಾ ಶ್ರೀ ಪ್ರೊ ಸಂ ರೂ",
+    "pan_Guru": "ਡਾ ਸ਼੍ਰੀ ਪ੍ਰੋ ਨੰ ਰੁ",
+    "mal_Mlym": "ഡോ ശ്രീ പ്രൊ നം രൂ",
+    "ory_Orya": "ଡା ଶ୍ରୀ ପ୍ରୋ ନଂ",
+    "rus_Cyrl": "ул пр пл г гг т тт руб коп стр рис см им обл проф акад напр",
 }
+# Languages whose abbreviations are those of the public locale data, by the first part of their tags.
+LOCALES = {"deu": "de", "spa": "es", "fra": "fr", "ita": "it", "por": "pt", "rus": "ru"}
 # Abbreviations that end a unit unless a lower-case letter follows.
 MAY_END = frozenset("etc a.m p.m".split())
 _ABBREVIATIONS = {tag: frozenset(words.split()) for tag, words in ABBREVIATIONS.items()}
@@ -114,18 +122,28 @@ def _plain(word: str) -> str:
     return word.translate(_FOLD) if any(c.isascii() and c.isalpha() for c in word) else word
 
 
-def _abbreviated(text: str, start: int, at: int, language: str | None) -> bool:
+def locale_abbreviations(spark: SparkSession) -> dict[str, list[str]]:
+    """Of each of LOCALES the abbreviations that end no sentence, from the locale data of the library that Spark brings along."""
+    bundles = spark.sparkContext._jvm.com.ibm.icu.util.UResourceBundle
+    out = {}
+    for language, locale in LOCALES.items():
+        words = bundles.getBundleInstance("com/ibm/icu/impl/data/icudata/brkitr", locale).get("exceptions").get("SentenceBreak")
+        out[language] = sorted(words.getString(i).rstrip(".") for i in range(words.getSize()))
+    return out
+
+
+def _abbreviated(text: str, start: int, at: int, language: str | None, more: frozenset[str]) -> bool:
     """Whether the word that ends before ``at`` is an abbreviation or an initial."""
     m = _WORD.search(text, start, at)
     if not m or m.end() != at:
         return False
     word = _plain(m.group())
-    if word in _ABBREVIATIONS.get(language or "", _ALL_ABBREVIATIONS):
+    if word in more or word in _ABBREVIATIONS.get(language or "", _ALL_ABBREVIATIONS):
         return True
     return bool(_INITIAL.fullmatch(word))
 
 
-def _paragraph(text: str, start: int, end: int, language: str | None, latin: bool) -> Iterator[tuple[int, int]]:
+def _paragraph(text: str, start: int, end: int, language: str | None, latin: bool, more: frozenset[str]) -> Iterator[tuple[int, int]]:
     """Units of text[start:end], which holds no blank line and no list item but at its start."""
     pairs = _pairs(text, start, end)
     closing = set(pairs.values())
@@ -179,7 +197,7 @@ def _paragraph(text: str, start: int, end: int, language: str | None, latin: boo
                     continue
             elif set(term) <= set(".．۔") or _STRIP.sub("", term) in (".", "۔", "．"):
                 n = _NEXT.match(text, stop, end).end()
-                if _abbreviated(text, unit, at, language) and not (n < end and _may_end(text, unit, at) and _starts(text, n, end)):
+                if _abbreviated(text, unit, at, language, more) and not (n < end and _may_end(text, unit, at) and _starts(text, n, end)):
                     continue
                 if n < end and text[n].islower() and not text[n + 1 : n + 2].isupper():
                     continue
@@ -201,10 +219,14 @@ def _joined(text: str, at: int, stop: int, term: str) -> bool:
         return not (before.isalnum() or _MARK.match(before)) or not after.isalpha() and after not in PAIRS and after != '"' or bool(_ASCII_LOWER.match(after))
     if len(term) > 1 or not after.isalpha() or after.islower():
         return True
-    return before.isupper() or not (before.isalpha() or _MARK.match(before))
+    if before.isupper() or not (before.isalpha() or _MARK.match(before)):
+        return True
+    # SB7 is tailored: texts that lack the space after a full stop are usual, so only parts of one abbreviation (z.B., Ph.D.) are joined
+    return before.islower() and (not text[at - 2 : at - 1].isalpha() or (not text[at - 3 : at - 2].isalpha() and bool(_SHORT.match(text, stop))))
 
 
 _MARK = regex.compile(r"\p{M}")
+_SHORT = regex.compile(r"\p{L}\.")
 _ASCII_LOWER = regex.compile(r"[a-z]")
 
 
@@ -263,18 +285,30 @@ def _thai(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
 _VISIBLE_BACK = regex.compile(r"(?r)[^\s%s]" % _INVISIBLE)
 
 
-def sentence_units(text: str | None, language: str | None) -> list[tuple[int, int]]:
-    """(start, end) of each unit in characters, without outer white space. Null or blank text: none."""
+_THAI_LAO = regex.compile(r"[\p{Thai}\p{Lao}]+")
+_LETTERS = regex.compile(r"[\p{L}\p{M}]+")
+
+
+def _unspaced(text: str, start: int, end: int) -> bool:
+    """Whether most letters of the paragraph are of scripts that have no terminators."""
+    if not _THAI_LAO.search(text, start, end):
+        return False
+    size = lambda p: sum(m.end() - m.start() for m in p.finditer(text, start, end))
+    return 2 * size(_THAI_LAO) > size(_LETTERS)
+
+
+def sentence_units(text: str | None, language: str | None, more: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
+    """(start, end) of each unit in characters, without outer white space. Null or blank text: none. ``more``: further abbreviations."""
     if not text or not text.strip():
         return []
     cuts = sorted({(m.start(), m.end()) for m in _BLANK.finditer(text)} | {(m.start(), m.end()) for m in _ITEM.finditer(text)})
     out: list[tuple[int, int]] = []
     at = 0
     latin = (language or "").endswith("_Latn") or not language
-    split = _thai if language == "tha_Thai" else None
     for a, b in [*cuts, (len(text), len(text))]:
         if a >= at and text[at:a].strip():
-            for s, e in split(text, at, a) if split else _paragraph(text, at, a, language, latin):
+            spaced = language == "tha_Thai" or _unspaced(text, at, a)
+            for s, e in _thai(text, at, a) if spaced else _paragraph(text, at, a, language, latin, more):
                 piece = text[s:e]
                 s += len(piece) - len(piece.lstrip())
                 e -= len(piece) - len(piece.rstrip())
@@ -296,10 +330,13 @@ def split_sentences(df: DataFrame, text: str = "text", language: str = "language
     kept = [c for c in (keep if keep is not None else [c for c in df.columns if c != text]) if c not in made]
     col, tag, units = (free_name(df, x) for x in ("_text", "_language", "_units"))
 
+    more = locale_abbreviations(df.sparkSession)
+
     @F.pandas_udf("array<struct<sentence_no:int,text:string,char_start:int,char_end:int>>")
     def units_of(texts: pd.Series, tags: pd.Series) -> pd.Series:
+        known = {language: frozenset(words) for language, words in more.items()}
         return pd.Series(
-            [[{"sentence_no": i, "text": t[s:e], "char_start": s, "char_end": e} for i, (s, e) in enumerate(sentence_units(t, g))] for t, g in zip(texts, tags)],
+            [[{"sentence_no": i, "text": t[s:e], "char_start": s, "char_end": e} for i, (s, e) in enumerate(sentence_units(t, g, known.get((g or "")[:3], frozenset())))] for t, g in zip(texts, tags)],
             dtype=object,
         )
 

@@ -73,3 +73,20 @@ def test_operator(spark):
     rows = split_sentences(df).collect()
     assert [(r["id"], r["sentence_no"], r["char_start"], r["char_end"], r["text"]) for r in rows] == [("d", 0, 0, 4, "One."), ("d", 1, 5, 9, "Two.")] * 2
     assert split_sentences(df.limit(0)).count() == 0
+
+
+def test_by_script_and_locale_data(spark):
+    from millrace.llm.sentences import split_sentences
+
+    thai = "วันนี้อากาศดี เราไปตลาดกัน"
+    rows = [
+        ("a", "Das ist z.B. ein Haus. Der Hrn. Kunz kam.", "deu_Latn"), ("b", "La Sra. Ruiz vino. Fue bien.", "spa_Latn"), ("c", "Он жил на ул. Ленина. Потом уехал.", "rus_Cyrl"),
+        ("d", thai, "tha_Thai"), ("e", thai, None), ("f", "ສະບາຍດີທຸກຄົນ ຂ້ອຍຢູ່ບ້ານ", "lao_Laoo"), ("g", "ಡಾ. ರಾವ್ ಬಂದರು. ಅವರು ಹೋದರು.", "kan_Knda"), ("h", "He left.Then it rained.", "eng_Latn"), ("i", "She has a Ph.D. in law. Yes.", None),
+    ]
+    df = spark.createDataFrame(rows, "id string, text string, language string")
+    got = {}
+    for r in split_sentences(df).orderBy("id", "sentence_no").collect():
+        got.setdefault(r["id"], []).append(r["text"])
+    assert got["a"] == ["Das ist z.B. ein Haus.", "Der Hrn. Kunz kam."] and got["b"] == ["La Sra. Ruiz vino.", "Fue bien."] and got["c"] == ["Он жил на ул. Ленина.", "Потом уехал."]
+    assert got["d"] == got["e"] == thai.split(" ") and len(got["f"]) == 2 and got["g"] == ["ಡಾ. ರಾವ್ ಬಂದರು.", "ಅವರು ಹೋದರು."]
+    assert got["h"] == ["He left.", "Then it rained."] and got["i"] == ["She has a Ph.D. in law.", "Yes."]
