@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 SECTION, SECTIONS = 32, 3
 #: Values that a partition's sketches may hold before they are sent on.
 HELD = 4_000_000
+#: The groups of partitions by which a key's sketches merge, level by level: of a million partitions no group has more than about 250 sketches.
+FANS = (4_096, 64)
 
 
 class _Compactor:
@@ -162,7 +164,7 @@ def build_sketches(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """One sketch for each combination of ``keys``: columns keys, n, sketch.
 
     Nulls, NaN and infinities are no values; null keys are a group of their own; an empty table gives
-    no rows. Every partition makes its own sketches, which merge in two steps, so that a hot key
+    no rows. Every partition makes its own sketches, which merge in a tree of three levels, so that a hot key
     brings no more than a bounded number of sketches to one task.
     """
     fields = _schema(df, keys, T.StructField("_part", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType()))
@@ -189,7 +191,9 @@ def build_sketches(df: DataFrame, keys: list[str], value: str) -> DataFrame:
             yield flush()
 
     made = rows.mapInPandas(partials, fields)
-    return merge_sketches(_merged(made, [*keys, "_part"], 64), keys)
+    for fan in FANS:
+        made = _merged(made, [*keys, "_part"], fan)
+    return merge_sketches(made, keys)
 
 
 def _merged(sketches: DataFrame, keys: list[str], fan: int | None = None) -> DataFrame:
