@@ -116,7 +116,9 @@ def mix_sources(df: DataFrame, key: str, source: str, size: Column, targets: Dat
     """
     spark = df.sparkSession
     rows = df.select(F.col(key).alias("key"), canonical_source(F.col(source)).alias("source"), size.cast("long").alias("size"))
-    rows = cut(rows.join(F.broadcast(targets.select("source").distinct().limit(MAX_SOURCES + 1)), "source").filter("size > 0"))
+    rows = cut(rows.join(F.broadcast(targets.select("source").distinct().limit(MAX_SOURCES + 1)), "source"))
+    # after the checkpoint: a filter on the size before it would measure the texts twice
+    rows = rows.filter("size > 0")
     buckets = buckets or max(16, -(-rows.count() // BUCKET))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "source"), F.lit(buckets)).cast("int"))
     plan = source_sizes(rows, "source", F.col("size"), targets)
