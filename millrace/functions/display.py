@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.text import SPACE, strip
+
 DASH = "—"
 
 
@@ -46,6 +48,20 @@ def size_in_bytes(x: Column) -> Column:
     return F.when(x.isNull() | F.isnan(x) | (x <= 0) | (x == float("inf")), F.lit("0 B")).otherwise(text)
 
 
+def relative(then: Column, now: Column) -> Column:
+    """How long ago an instant was, in the largest whole unit; less than a minute, or to come: just now. Null: a dash."""
+    ms = F.unix_millis(now) - F.unix_millis(then)
+    ago = lambda size, unit: F.concat(F.floor(ms / size).cast("string"), F.lit(f"{unit} ago"))
+    text = F.when(ms < 60_000, "just now").when(ms < 3_600_000, ago(60_000, "m")).when(ms < 86_400_000, ago(3_600_000, "h")).otherwise(ago(86_400_000, "d"))
+    return F.when(then.isNull() | now.isNull(), F.lit(DASH)).otherwise(text)
+
+
+def first_words(text: Column, words: int) -> Column:
+    """A text of at most so many words; the rest is cut off, with an ellipsis."""
+    parts = F.split(strip(text), f"{SPACE}+")
+    return F.when(F.size(parts) <= words, text).otherwise(F.concat(F.array_join(F.slice(parts, 1, words), " "), F.lit("…")))
+
+
 def minutes(x: Column) -> Column:
     """mm:ss of seconds; negative and missing ones are 00:00."""
     s = F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.lit(0)).otherwise(F.greatest(F.lit(0), F.floor(x)))

@@ -26,6 +26,14 @@ def retrieval_ms(row: str = "") -> Column:
     return F.greatest(c("dense_retrieval"), c("sparse_retrieval")) + c("fusion")
 
 
+def log_entries(requests: DataFrame) -> DataFrame:
+    """``requests`` as they are logged: the query's first 300 characters, whole milliseconds in total, the retrieval path to two digits.
+
+    requests: request_id, query, status, confidence, total, tokens_used, chunk_count, voice, created_at and the stage times.
+    """
+    return requests.withColumns({"query": F.substring("query", 1, 300), "total_latency_ms": F.floor(F.col("total") + 0.5), "retrieval_path_ms": F.floor(retrieval_path_ms() * 100 + 0.5) / 100})
+
+
 def retrieval_path_ms(row: str = "") -> Column:
     """From query text to ranked context: input guards, embedding, the slower arm, fusion, diversity, reranking, expansion."""
     c = lambda n: F.coalesce(measured(F.col(row + n)), F.lit(0.0))

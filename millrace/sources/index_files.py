@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import random
+import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as FutureTimeout
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -118,8 +122,43 @@ def write_report(df: DataFrame, path: str, stamp: str) -> str:
     return target
 
 
-def send_batches(df: DataFrame, send: Callable[[], Callable[[list[dict]], None]], size: int = 128, retries: int = 2) -> int:
-    """Sends all rows to an outside store in batches from every partition; a failed batch is tried again. Returns the rows sent.
+class TimedOut(Exception):
+    pass
+
+
+def with_timeout(call: Callable[[], object], seconds: float):
+    """What ``call`` gives; TimedOut if it takes longer. The call itself is not stopped, only no longer waited for."""
+    pool = ThreadPoolExecutor(1)
+    try:
+        return pool.submit(call).result(seconds)
+    except FutureTimeout:
+        raise TimedOut(f"no answer in {seconds} s") from None
+    finally:
+        pool.shutdown(wait=False)
+
+
+def with_retries(call: Callable[[int], object], retries: int = 3, base: float = 0.4, most: float = 8.0, again: Callable[[Exception, int], bool] = lambda error, attempt: True, sleep: Callable[[float], None] = time.sleep):
+    """What ``call`` (given the attempt, from 0) gives, tried again after a random wait below a ceiling that doubles each time up to ``most`` seconds.
+
+    An error of which ``again`` says no is raised at once.
+    """
+    for attempt in range(retries + 1):
+        try:
+            return call(attempt)
+        except Exception as error:
+            if attempt == retries or not again(error, attempt):
+                raise
+            sleep(random.uniform(0, min(most, base * 2**attempt)))
+
+
+def read_json_rows(spark: SparkSession, path: str, schema: str, limit: int | None = None, retries: int = 3) -> DataFrame:
+    """Rows of JSON lines; listing and opening are tried again when the store fails. ``limit``: a sample of so many."""
+    rows = with_retries(lambda _: spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path), retries)
+    return rows.limit(limit) if limit else rows
+
+
+def send_batches(df: DataFrame, send: Callable[[], Callable[[list[dict]], None]], size: int = 128, retries: int = 2, seconds: float = 30.0) -> int:
+    """Sends all rows to an outside store in batches from every partition; a batch that fails or takes longer than ``seconds`` is tried again, after a wait. Returns the rows sent.
 
     ``send`` is called once a task. A task that is run again sends its rows again: the store must take a row twice.
     """
@@ -130,13 +169,8 @@ def send_batches(df: DataFrame, send: Callable[[], Callable[[list[dict]], None]]
         for frame in frames:
             rows = frame.to_dict("records")
             for i in range(0, len(rows), size):
-                for attempt in range(retries + 1):
-                    try:
-                        put(rows[i : i + size])
-                        break
-                    except Exception:
-                        if attempt == retries:
-                            raise
+                batch = rows[i : i + size]
+                with_retries(lambda _, batch=batch: with_timeout(lambda: put(batch), seconds), retries)
             sent += len(rows)
         yield pd.DataFrame({"sent": [sent]})
 
