@@ -79,7 +79,7 @@ FIXTURES: dict[str, tuple[str, list[tuple]]] = {
             ("c", 0.1, 0.05, 0.0, 0.2, 0.1, "Unsure."),
             ("d", None, float("nan"), -1.0, 2.0, 0.5, "Odd."),
             ("e", 1.0, 1.0, 1.0, 1.0, 1.0, "  "),
-            ("f", 1.0, 1.0, 1.0, 1.0, 1.0, "I could not find enough evidence in the indexed documents to answer that."),
+            ("f", 1.0, 1.0, 1.0, 1.0, 1.0, "Sorry: I couldn't find enough evidence in the retrieved documents."),
             ("g", 0.0, 0.0, 0.0, 0.0, 0.0, None),
         ],
     ),

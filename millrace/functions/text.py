@@ -131,9 +131,15 @@ def script_of(text: Column) -> Column:
     return F.when(F.coalesce(best, F.lit(0)) == 0, "Unknown").otherwise(F.element_at(F.array(*map(F.lit, SCRIPTS)), at))
 
 
+def nfkc(text: Column) -> Column:
+    """The compatibility composition of a text, by the Unicode library that Spark brings along: in the JVM."""
+    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(True))
+    return F.when(text.isNotNull(), composed)
+
+
 def cache_form(query: Column) -> Column:
-    """A query as caches identify it, but for compatibility forms: lower case, white space collapsed, closing marks off."""
-    plain = strip(F.regexp_replace(F.lower(query), f"{SPACE}+", " "))
+    """A query as caches identify it: compatibility forms made one (NFKC), lower case, white space collapsed, closing marks off."""
+    plain = strip(F.regexp_replace(F.lower(nfkc(query)), f"{SPACE}+", " "))
     return strip(F.regexp_replace(plain, "[?!.।]+$", ""))
 
 

@@ -9,7 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import content_tokens, coverage, let, sentences, strip_citations, tokenize
+from millrace.functions.text import content_tokens, coverage, let, sentences, strip, strip_citations, tokenize
 from millrace.functions.vector import clamp01
 
 BLOCK, WARN = 0.8, 0.45
@@ -75,6 +75,16 @@ REFUSALS = {
     "toxicity": "This request was blocked because it asks for harmful content.",
 }
 REFUSAL = "This request was blocked by a safety guardrail."
+# The answers that stand for an answer without evidence, and for one that is not trusted.
+INSUFFICIENT = "I couldn't find enough evidence in the retrieved documents."
+LOW_CONFIDENCE = "I don't have enough information."
+# White space as the patterns mean it; Java's \\s is ASCII only.
+WHITE = r"[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+def compiled(rule: Rule) -> str:
+    """The rule's pattern for the JVM: without regard to case, with white space of any kind."""
+    return "(?iu)" + rule.pattern.replace(r"[\s\S]", "(?s:.)").replace(r"\s", WHITE)
 
 
 def rules_of(group: str) -> list[Rule]:
@@ -86,7 +96,7 @@ def matches(text: Column, rule: Rule, low: Column | None = None) -> Column:
     (long s) that the pattern takes for an s and lower case does not. ``low``: the text in lower case."""
     low = F.lower(text) if low is None else low
     words = reduce(Column.__or__, (F.contains(low, F.lit(w)) for w in (*NEEDED[rule.name].split(), "ſ")))
-    return words & text.rlike(f"(?iu){rule.pattern}")
+    return words & text.rlike(compiled(rule))
 
 
 def _by_rule(text: Column, group: str, value: Callable[[Column, Rule], Column]) -> Column:
@@ -108,7 +118,7 @@ def rule_score(text: Column, group: str) -> Column:
 
 def rule_evidence(text: Column, group: str) -> Column:
     """name: snippet (white space collapsed, 120 characters) of each rule that matches."""
-    snippet = lambda t, r: F.substring(F.trim(F.regexp_replace(F.regexp_substr(t, F.lit(f"(?iu){r.pattern}")), r"\s+", " ")), 1, 120)
+    snippet = lambda t, r: F.substring(F.trim(F.regexp_replace(F.regexp_substr(t, F.lit(compiled(r))), f"{WHITE}+", " ")), 1, 120)
     return _by_rule(text, group, lambda t, r: F.concat(F.lit(f"{r.name}: "), snippet(t, r)))
 
 
@@ -189,9 +199,15 @@ def confidence(df: DataFrame) -> DataFrame:
     return df.withColumns({"confidence": F.round(total, 4), "sufficient": F.round(total, 12) >= CONFIDENCE, "worst": F.array_max(losses)["factor"]})
 
 
-def outcome(answer: Column, sufficient: Column, refusal: str) -> Column:
+def final_answer(answer: Column, sufficient: Column) -> Column:
+    """What is given out: the answer, or the text that stands for a blank or refusing one, or for one that is not trusted."""
+    status = outcome(answer, sufficient)
+    return F.when(status == "insufficient_context", F.lit(INSUFFICIENT)).when(status == "low_confidence", F.lit(LOW_CONFIDENCE)).otherwise(strip(answer))
+
+
+def outcome(answer: Column, sufficient: Column, refusal: str = INSUFFICIENT) -> Column:
     """insufficient_context for a blank or refusing answer, low_confidence for an insufficient one, else answered."""
-    text = F.trim(F.coalesce(answer, F.lit("")))
+    text = strip(F.coalesce(answer, F.lit("")))
     return F.when((text == "") | F.contains(text, F.lit(refusal)), "insufficient_context").when(~F.coalesce(sufficient, F.lit(False)), "low_confidence").otherwise("answered")
 
 

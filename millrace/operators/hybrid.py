@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,8 +11,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.vector import dot
-
 RRF_K, DIGITS = 60, 9
 #: Queries whose vectors one task holds; more are taken in blocks, one after the other.
 QUERY_BLOCK = 4_096
@@ -37,10 +37,8 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_key: str =
     q_type, k_type = asked.schema["q"].dataType, vectors.schema[key].dataType
     schema = T.StructType([T.StructField("q", q_type), T.StructField("d", k_type), T.StructField("score", T.DoubleType())])
     rows = vectors.select(F.col(key).alias("d"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("d").isNotNull() & (F.size("v") > 0))
-    count = asked.count()
     found = None
-    for block in range(max(1, -(-count // QUERY_BLOCK))):
-        part = asked.filter(F.pmod(F.xxhash64("q"), F.lit(-(-count // QUERY_BLOCK) or 1)) == block).toPandas()  # about QUERY_BLOCK rows
+    for part in _blocks(asked, "q"):
         held = spark.sparkContext.broadcast((part["q"].to_numpy(), [np.asarray(v, dtype="f8") for v in part["v"]]))
 
         def search(frames, held=held):
@@ -112,7 +110,7 @@ def diversify(relevance: list[float], texts: list[str], limit: int, weight: floa
         for i, own in enumerate(grams):
             marks[i, [place[g] for g in own]] = 1
         shared, sizes = marks @ marks.T, marks.sum(axis=1)
-        like = shared / np.maximum(1, sizes[:, None] + sizes[None, :] - shared)
+        like = shared.astype("f8") / np.maximum(1, sizes[:, None] + sizes[None, :] - shared)
     nearest, chosen, open_ = np.zeros(n), [], np.ones(n, dtype=bool)
     while len(chosen) < limit and open_.any():
         score = np.where(open_, weight * r - (1 - weight) * nearest, -np.inf)
@@ -161,9 +159,51 @@ def exact_cache_hits(requests: DataFrame, entries: DataFrame, ttl_ms: int = 300_
     return joined.groupBy(F.col(f"a.{key}").alias(key)).agg(F.max("b.stored_at").alias("stored_at"))
 
 
-def semantic_cache_hits(requests: DataFrame, entries: DataFrame, least: float = 0.97, key: str = "request_id") -> DataFrame:
-    """The nearest entry (entry_id, options_key, vector) of each request (key, options_key, vector) under the same
-    options, if its cosine is above ``least``: key, entry_id, similarity. Requests are a stated set, entries a cache of bounded size."""
-    pairs = requests.alias("a").join(entries.alias("b"), "options_key").select(key, "entry_id", F.round(dot(F.col("a.vector"), F.col("b.vector")), DIGITS).alias("similarity"))
-    near = pairs.filter(F.col("similarity") > least)
-    return near.groupBy(key).agg(F.min_by("entry_id", F.struct(-F.col("similarity"), F.col("entry_id"))).alias("entry_id"), F.max("similarity").alias("similarity"))
+def _blocks(asked: DataFrame, key: str) -> Iterator[pd.DataFrame]:
+    """A stated set of queries in blocks of about QUERY_BLOCK rows."""
+    n = max(1, -(-asked.count() // QUERY_BLOCK))
+    for block in range(n):
+        yield asked.filter(F.pmod(F.xxhash64(key), F.lit(n)) == block).toPandas()
+
+
+def semantic_cache_hits(requests: DataFrame, entries: DataFrame, least: float = 0.97, ttl_ms: int = 300_000, key: str = "request_id") -> DataFrame:
+    """The nearest entry (entry_id, options_key, vector, stored_at) of each request (key, options_key, vector, at) under the same
+    options, stored before it and no longer ago than the time to live, if its cosine is above ``least``: key, entry_id, similarity;
+    the lesser entry of equal ones.
+
+    Requests are a stated set, taken in blocks: every entry meets a block in one matrix product, of which a task keeps one
+    row a request, so that it does not matter how many share their options.
+    """
+    spark = requests.sparkSession
+    asked = requests.select(F.col(key).alias("q"), "options_key", F.unix_millis(F.col("at").cast("timestamp")).alias("at"), F.col("vector").cast("array<double>").alias("v")).filter("size(v) > 0 AND options_key IS NOT NULL AND at IS NOT NULL")
+    rows = entries.select(F.col("entry_id").alias("d"), "options_key", F.unix_millis(F.col("stored_at").cast("timestamp")).alias("at"), F.col("vector").cast("array<double>").alias("v")).filter("size(v) > 0 AND options_key IS NOT NULL AND at IS NOT NULL AND d IS NOT NULL")
+    schema = T.StructType([T.StructField("q", asked.schema["q"].dataType), T.StructField("d", rows.schema["d"].dataType), T.StructField("score", T.DoubleType())])
+    found = None
+    for part in _blocks(asked, "q"):
+        held = spark.sparkContext.broadcast(part)
+
+        def search(frames, held=held):
+            block = held.value
+            best: dict[int, tuple[float, object]] = {}
+            sizes = block["v"].map(len)
+            for frame in frames:
+                lengths = frame["v"].map(len)
+                for n in sizes.unique():
+                    at, own = np.flatnonzero(sizes == n), frame[lengths == n].sort_values("d", kind="stable")
+                    if not len(own):
+                        continue
+                    score = np.round(np.stack(block["v"].iloc[at].to_numpy()) @ np.stack(own["v"].to_numpy()).T, DIGITS)
+                    age = block["at"].to_numpy()[at][:, None] - own["at"].to_numpy()[None, :]
+                    same = block["options_key"].to_numpy()[at][:, None] == own["options_key"].to_numpy()[None, :]
+                    score[~same | (age <= 0) | (age >= ttl_ms) | (score <= least)] = -2.0
+                    top, ids = score.argmax(axis=1), own["d"].tolist()
+                    for i, (q, j) in enumerate(zip(at.tolist(), top.tolist())):
+                        s = float(score[i, j])
+                        if s > -2.0 and (q not in best or (-s, ids[j]) < (-best[q][0], best[q][1])):
+                            best[q] = (s, ids[j])
+            names = block["q"].tolist()
+            yield pd.DataFrame([(names[q], d, s) for q, (s, d) in best.items()], columns=["q", "d", "score"])
+
+        one = rows.mapInPandas(search, schema)
+        found = one if found is None else found.unionByName(one)
+    return found.groupBy(F.col("q").alias(key)).agg(F.min_by("d", F.struct(-F.col("score"), F.col("d"))).alias("entry_id"), F.max("score").alias("similarity"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from millrace.fixtures import FIXTURES
 from millrace.functions.text import DENSE_SCRIPTS, LANGUAGE_NAMES, SCRIPTS, STOPWORDS
+from millrace.oracles_chunking import CHUNKING
 from millrace.operators.guard import INPUT_GUARDS, REFUSAL, REFUSALS, RULES
 
 _TYPES = {"int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE"}
@@ -154,9 +155,16 @@ _AT = "try_cast(created_at AS TIMESTAMPTZ)"
 _UTC = f"({_AT} AT TIME ZONE 'UTC')"
 
 
+# White space as the rules mean it, held here apart from the operators'.
+WHITE = r"[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+def _re2(pattern: str) -> str:
+    return "(?i)" + pattern.replace("'", "''").replace(r"[\s\S]", "(?s:.)").replace(r"\s", WHITE)
+
+
 def _rule(t: str, pattern: str) -> str:
-    quoted = pattern.replace("'", "''")
-    return f"regexp_matches({t}, '(?i){quoted}')"
+    return f"regexp_matches({t}, '{_re2(pattern)}')"
 
 
 def rule_score(t: str, group: str) -> str:
@@ -167,12 +175,11 @@ def _evidence(t: str, group: str) -> str:
     rows = []
     for r in RULES:
         if r.group == group:
-            quoted = r.pattern.replace("'", "''")
-            rows.append(rf"CASE WHEN {_rule(t, r.pattern)} THEN '{r.name}: ' || left(trim(regexp_replace(regexp_extract({t}, '(?i){quoted}'), '\s+', ' ', 'g')), 120) END")
+            rows.append(f"CASE WHEN {_rule(t, r.pattern)} THEN '{r.name}: ' || left(trim(regexp_replace(regexp_extract({t}, '{_re2(r.pattern)}'), '{WHITE}+', ' ', 'g')), 120) END")
     return f"array_to_string(list_filter([{', '.join(rows)}], lambda e: e IS NOT NULL), ' ; ')"
 
 
-_REPORT = "report AS (" + " UNION ALL ".join(f"SELECT key, '{g}' AS guard, {i} AS position, {rule_score(chr(34) + 'asked' + chr(34), g)} AS score, {_evidence('asked', g)} AS evidence FROM (SELECT key, coalesce(query, '') AS asked FROM {values('prompts')})" for i, g in enumerate(INPUT_GUARDS)) + "), judged AS (SELECT *, CASE WHEN score >= 0.8 THEN 'block' WHEN score >= 0.45 THEN 'warn' ELSE 'pass' END AS verdict FROM report)"
+_REPORT = f"asked_prompts AS MATERIALIZED (SELECT key, coalesce(query, '') AS asked FROM (SELECT 'r' || request_id AS key, min(query) AS query FROM request_log GROUP BY 1 UNION ALL SELECT key, query FROM {values('prompts')})), " + "report AS (" + " UNION ALL ".join(f"SELECT key, '{g}' AS guard, {i} AS position, {rule_score(chr(34) + 'asked' + chr(34), g)} AS score, {_evidence('asked', g)} AS evidence FROM asked_prompts" for i, g in enumerate(INPUT_GUARDS)) + "), judged AS (SELECT *, CASE WHEN score >= 0.8 THEN 'block' WHEN score >= 0.45 THEN 'warn' ELSE 'pass' END AS verdict FROM report)"
 _REFUSED = "CASE blocked_by " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in REFUSALS.items()) + f" ELSE '{REFUSAL}' END"
 
 
@@ -180,13 +187,13 @@ def clamp(c: str) -> str:
     return f"CASE WHEN {c} IS NULL OR isnan({c}) OR isinf({c}) THEN 0.0 ELSE greatest(0.0, least(1.0, {c})) END"
 
 
-_BLEND = f"0.35 * ({clamp('top_score')}) + 0.3 * ({clamp('groundedness')}) + 0.15 * ({clamp('mean_score')}) + 0.1 * ({clamp('agreement')}) + 0.1 * ({clamp('coverage')})"
-_LOSSES = ", ".join(f"{{'loss': {w} - {w} * ({clamp(n)}), 'o': {-i}, 'f': '{n}'}}" for i, (n, w) in enumerate((("top_score", 0.35), ("groundedness", 0.3), ("mean_score", 0.15), ("agreement", 0.1), ("coverage", 0.1))))
+BLEND = f"0.35 * ({clamp('top_score')}) + 0.3 * ({clamp('groundedness')}) + 0.15 * ({clamp('mean_score')}) + 0.1 * ({clamp('agreement')}) + 0.1 * ({clamp('coverage')})"
+LOSSES = ", ".join(f"{{'loss': {w} - {w} * ({clamp(n)}), 'o': {-i}, 'f': '{n}'}}" for i, (n, w) in enumerate((("top_score", 0.35), ("groundedness", 0.3), ("mean_score", 0.15), ("agreement", 0.1), ("coverage", 0.1))))
 _TOPIC = f"coalesce(query_text, topic, '')"
 _TOPIC_SQL = f"CASE WHEN {strip(_TOPIC)} <> '' THEN {truncated('regexp_replace(' + strip(_TOPIC) + ', ' + chr(39) + '^([.]|' + SP + ')+' + chr(39) + ', ' + chr(39) * 2 + ')', 90)} ELSE {truncated(strip(chr(40) + 'coalesce(text, ' + chr(39) * 2 + '))'), 60)} END"
 _SUGGEST = f"sug AS (SELECT query_id, language, arg_min(t, id) AS text FROM (SELECT query_id, language, id, {strip('coalesce(query_text, ' + chr(39) * 2 + ')')} AS t FROM chunk_rows) WHERE coalesce(query_id, '') <> '' AND t <> '' AND length(t) <= 140 GROUP BY 1, 2)"
 _QID = "regexp_replace(coalesce(query_id, ''), 'n$', '')"
-_TRIGRAMS = lambda t: f"CASE WHEN length({t}) < 3 THEN []::VARCHAR[] ELSE list_distinct(list_transform(range(1, length({t}) - 1), lambda i: substring({t}, i::BIGINT, 3))) END"
+trigram_list = lambda t: f"CASE WHEN length({t}) < 3 THEN []::VARCHAR[] ELSE list_distinct(list_transform(range(1, length({t}) - 1), lambda i: substring({t}, i::BIGINT, 3))) END"
 
 
 def plain(t: str) -> str:
@@ -204,9 +211,17 @@ _SCRIPT_COUNTS = ", ".join(rf"length(regexp_replace(text, '[^\p{{{s}}}]', '', 'g
 _NAMES = "CASE language " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LANGUAGE_NAMES.items()) + " ELSE language END"
 
 _SPOKEN = "answer"
-for _pattern, _to in ((r"```(?s:.*?)```", " "), (r"\[\d+\](\[\d+\])*", " "), (r"!?\[([^\]]*)\]\([^)]*\)", r"\1"), (r"[*_~`>#|]", " "), (r"\s+", " ")):
+for _pattern, _to in ((r"```(?s:.*?)```", " "), (r"\[\d+\](\[\d+\])*", " "), (r"!?\[([^\]]*)\]\([^)]*\)", r"\1"), (r"[*_~`>#|]", " "), (SP + "+", " ")):
     _SPOKEN = f"regexp_replace({_SPOKEN}, '{_pattern}', '{_to}', 'g')"
 
+EVIDENCE = f"""{HYBRID}, {RERANK}, {AGREEMENT},
+        h AS (SELECT r.query_id, max(greatest(0, least(1, coalesce(dense_score, 0)))) AS top, avg(greatest(0, least(1, coalesce(dense_score, 0)))) AS mean, min(greatest(0, least(1, coalesce(dense_score, 0)))) AS low, count(*) AS chunks,
+            list_distinct(flatten(list({tokens("r.text || ' ' || coalesce(p.text, '')")}))) AS ctx FROM reranked r LEFT JOIN chunk_rows p ON p.id = r.parent_chunk GROUP BY 1),
+        j AS (SELECT e.query_id, coalesce(top, 0) AS top, coalesce(mean, 0) AS mean, coalesce(low, 0) AS low, coalesce(chunks, 0) AS chunks, coalesce(agreement, 0) AS agreement, {content("coalesce(e.query, '')")} AS needles, coalesce(ctx, []::VARCHAR[]) AS ctx, {rule_score("coalesce(e.query, '')", "out_of_scope")} AS hint
+            FROM evaluation_cases e LEFT JOIN h USING (query_id) LEFT JOIN agree USING (query_id)),
+        k AS (SELECT *, {covered('needles', 'ctx')} AS coverage, CASE WHEN top > 0 THEN 1 - least(1, (CASE WHEN chunks > 1 THEN top - low ELSE 0 END) / greatest(top, 1e-6)) ELSE 0 END AS consistency FROM j),
+        l AS (SELECT *, 0.5 * agreement + 0.3 * consistency + 0.2 * least(1, chunks / 3.0) AS verification FROM k)"""
+
 ORACLES: dict[str, str] = {
     "bm25_topk": f"{BM25_CHUNKS} SELECT query_id, k AS id, rank, score FROM best",
     "bm25_distinct_topk": f"WITH {bm25('documents', 'doc_id', distinct=True)}, {top('best', 'scored', 10)} SELECT query_id, k AS doc_id, rank, score FROM best",
@@ -220,7 +235,7 @@ ORACLES: dict[str, str] = {
     "token_estimate": f"SELECT doc_id, {estimate('text')} AS estimate FROM documents",
     "script_detect": f"SELECT document_id, CASE WHEN coalesce(list_max(c), 0) = 0 THEN 'Unknown' ELSE [{', '.join(repr(s) for s in SCRIPTS)}][list_position(c, list_max(c))] END AS script FROM (SELECT document_id, [{_SCRIPT_COUNTS}] AS c FROM source_documents)",
     "language_names": f"SELECT language, {_NAMES} AS name, count(*) AS n FROM source_documents GROUP BY language",
-    "trigram_jaccard": f"WITH p AS (SELECT query_id, query, english_query, {plain('query')} AS a, {plain('english_query')} AS b FROM evaluation_cases), g AS (SELECT *, {_TRIGRAMS('a')} AS ga, {_TRIGRAMS('b')} AS gb FROM p) SELECT query_id, round(CASE WHEN coalesce(length(query), 0) = 0 OR coalesce(length(english_query), 0) = 0 THEN 0.0 WHEN query = english_query THEN 1.0 ELSE {jaccard('ga', 'gb')} END, 9) AS similarity FROM g",
+    "trigram_jaccard": f"WITH p AS (SELECT query_id, query, english_query, {plain('query')} AS a, {plain('english_query')} AS b FROM evaluation_cases), g AS (SELECT *, {trigram_list('a')} AS ga, {trigram_list('b')} AS gb FROM p) SELECT query_id, round(CASE WHEN coalesce(length(query), 0) = 0 OR coalesce(length(english_query), 0) = 0 THEN 0.0 WHEN query = english_query THEN 1.0 ELSE {jaccard('ga', 'gb')} END, 9) AS similarity FROM g",
     "token_overlap": f"WITH t AS (SELECT query_id, {tokens('coalesce(query, ' + chr(39) * 2 + ')')} AS a, {tokens('coalesce(answer, ' + chr(39) * 2 + ')')} AS b, {content('coalesce(query, ' + chr(39) * 2 + ')')} AS c FROM evaluation_cases) SELECT query_id, round({jaccard('a', 'b')}, 9) AS jaccard, round({covered('c', 'b')}, 9) AS coverage FROM t",
     "chunk_uuid": f"WITH {CHUNKS}, h AS (SELECT id, sha1(concat_ws('::', document_id, passage_id, strategy, chunk_index)) AS h FROM chunk_rows) SELECT id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || '89ab89ab89ab89ab'[strpos('0123456789abcdef', h[17:17])] || h[18:20] || '-' || h[21:32] AS made FROM h",
     "metadata_headers": f"WITH {CHUNKS}, t AS (SELECT id, language, source, text, {_TOPIC_SQL} AS topic FROM chunk_rows), h AS (SELECT *, concat_ws(' | ', CASE WHEN topic <> '' THEN 'topic: ' || topic END, CASE WHEN language <> '' THEN 'language: ' || language END, CASE WHEN source <> '' THEN 'source: ' || source END) AS p FROM t) SELECT id, topic, CASE WHEN p = '' THEN '' ELSE '[' || p || ']' END AS header, md5(CASE WHEN p = '' THEN coalesce(text, '') ELSE '[' || p || ']' || chr(10) || coalesce(text, '') END) AS embedded FROM h",
@@ -230,15 +245,21 @@ ORACLES: dict[str, str] = {
     "rrf_fusion": f"{HYBRID} SELECT query_id, k AS id, rank, round(fused_score, 9) AS fused_score, dense_rank, sparse_rank, concat_ws('+', CASE WHEN dense_rank IS NOT NULL THEN 'dense' END, CASE WHEN sparse_rank IS NOT NULL THEN 'sparse' END) AS matched_by FROM fused WHERE rank <= 10",
     "arm_agreement": f"{HYBRID}, {AGREEMENT} SELECT query_id, round(agreement, 9) AS agreement FROM agree",
     "heuristic_rerank": f"{HYBRID}, {RERANK} SELECT query_id, k AS id, rank AS rank_before, rank_after, rank - rank_after AS gain, round(rerank_score, 6) AS rerank_score FROM reranked",
-    "candidate_similarity": f"{HYBRID}, c AS (SELECT f.query_id, f.rank, {plain('coalesce(text, ' + chr(39) * 2 + ')')} AS p FROM fused f JOIN chunk_rows ON id = k WHERE f.rank <= 5), g AS (SELECT query_id, rank, {_TRIGRAMS('p')} AS g FROM c) SELECT a.query_id, a.rank AS rank_a, b.rank AS rank_b, round({jaccard('a.g', 'b.g')}, 9) AS similarity FROM g a JOIN g b ON a.query_id = b.query_id AND a.rank < b.rank",
+    "candidate_similarity": f"{HYBRID}, c AS (SELECT f.query_id, f.rank, {plain('coalesce(text, ' + chr(39) * 2 + ')')} AS p FROM fused f JOIN chunk_rows ON id = k), g AS (SELECT query_id, rank, {trigram_list('p')} AS g FROM c) SELECT a.query_id, a.rank AS rank_a, b.rank AS rank_b, round({jaccard('a.g', 'b.g')}, 9) AS similarity FROM g a JOIN g b ON a.query_id = b.query_id AND a.rank < b.rank",
     "parent_expansion": f"{HYBRID}, {RERANK} SELECT r.query_id, r.k AS id, coalesce(length(p.text), 0) AS parent_chars FROM reranked r LEFT JOIN chunk_rows p ON p.id = r.parent_chunk",
     "filtered_search": "SELECT DISTINCT id, metadata.language AS language FROM vector_records WHERE NOT is_parent AND metadata.language IN ('hin_Deva', 'tam_Taml') AND metadata.strategy IN ('overlap', 'semantic', 'recursive')",
     "point_lookup": f"WITH {CHUNKS} SELECT id, document_id, strategy, 1.0::DOUBLE AS score FROM chunk_rows WHERE id IN (SELECT parent_chunk FROM chunk_rows)",
-    "semantic_cache": "WITH s AS (SELECT a.vec_id AS request_id, b.vec_id AS entry_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS similarity FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 100 = 0) SELECT request_id, arg_min(entry_id, {'s': -similarity, 'e': entry_id}) AS entry_id, max(similarity) AS similarity FROM s WHERE similarity > 0.2 GROUP BY 1",
+    "semantic_cache": """
+        WITH v AS MATERIALIZED (SELECT id, any_value(vector) AS vector, max(upserted_at) AS stored, min(metadata.query_id) AS query_id, min(metadata.language) AS lang FROM vector_records WHERE len(vector) = 96 AND NOT is_parent GROUP BY id),
+        u AS MATERIALIZED (SELECT id, stored, query_id, lang, sqrt(list_dot_product(vector, vector)) AS n, vector FROM v),
+        w AS MATERIALIZED (SELECT id, stored, query_id, lang, CASE WHEN n > 0 THEN list_transform(vector, lambda x: x / n) ELSE vector END AS vector FROM u),
+        a AS (SELECT query_id AS request_id, arg_min(lang, id) FILTER (lang IS NOT NULL) AS lang0, min(id) AS id FROM w WHERE query_id IN (SELECT query_id FROM evaluation_cases) GROUP BY 1),
+        s AS (SELECT request_id, e.id AS entry_id, round(list_dot_product(r.vector, e.vector), 9) AS similarity FROM a JOIN w r ON r.id = a.id JOIN w e ON e.lang = r.lang AND e.stored < r.stored AND e.stored > r.stored - INTERVAL 30 DAY)
+        SELECT request_id, arg_min(entry_id, {'s': -similarity, 'e': entry_id}) AS entry_id, max(similarity) AS similarity FROM s WHERE similarity > 0.97 GROUP BY 1""",
     "exact_cache": f"WITH {LOG}, f AS (SELECT request_id, coalesce(language, chr(0)) AS lang, {_AT} AS t, {strip("regexp_replace(" + plain("coalesce(query, " + chr(39) * 2 + ")") + ", '[?!.।]+$', '')")} AS form FROM log), g AS (SELECT * FROM f WHERE t IS NOT NULL AND form <> '') SELECT a.request_id, max(epoch_ms(b.t)) AS stored_ms FROM g a JOIN g b ON a.form = b.form AND a.lang = b.lang AND epoch_ms(a.t) - epoch_ms(b.t) > 0 AND epoch_ms(a.t) - epoch_ms(b.t) < 300000 GROUP BY 1",
-    "speech_texts": f"SELECT answer_id, left({strip(_SPOKEN)}, 2500) AS spoken FROM {values('answers')}",
+    "speech_texts": f"SELECT key, md5(left({strip(_SPOKEN)}, 2500)) AS spoken FROM (SELECT 'd' || doc_id AS key, text AS answer FROM documents UNION ALL SELECT 'a' || answer_id, answer FROM {values('answers')})",
     "recent_turns": f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY turn DESC) AS back FROM {values('turns')}) SELECT conversation_id, turn, row_number() OVER (PARTITION BY conversation_id ORDER BY turn) AS place, {truncated('content', 1200)} AS content FROM r WHERE back <= 3",
-    "web_contexts": f"WITH o AS (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY tier, position) AS nth FROM {values('web_tiers')}), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, position) AS place FROM o WHERE nth = 1) SELECT query_id, '## Web Search Results' || chr(10) || chr(10) || 'Query: ' || chr(34) || any_value(query) || chr(34) || chr(10) || chr(10) || chr(10) || chr(10) || string_agg('[Web ' || place || '] **' || title || '**' || chr(10) || snippet || chr(10) || 'Source: ' || url, chr(10) || chr(10) ORDER BY place) AS context FROM p WHERE place <= 3 GROUP BY query_id",
+    "web_contexts": f"WITH o AS (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY tier, position) AS nth FROM {values('web_tiers')}), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, position) AS place FROM o WHERE nth = 1) SELECT query_id, '## Web Search Results' || chr(10) || chr(10) || 'Query: ' || chr(34) || any_value(query) || chr(34) || chr(10) || chr(10) || chr(10) || chr(10) || string_agg('[Web ' || place || '] **' || title || '**' || chr(10) || snippet || chr(10) || 'Source: ' || url, chr(10) || chr(10) ORDER BY place) AS context FROM p WHERE place <= 5 GROUP BY query_id",
     "dedupe_best_rank": f"{BM25_CHUNKS}, {RANKED} SELECT * FROM ranked",
     "retrieval_quality": f"{BM25_CHUNKS}, {RANKED}, {QRELS} SELECT query_id, relevant, round(recall, 9) AS recall, round(precision, 9) AS precision, round(reciprocal_rank, 9) AS reciprocal_rank, round(ndcg, 9) AS ndcg, hit FROM {quality(5)}",
     "quality_summary": f"{BM25_CHUNKS}, {RANKED}, {QRELS} SELECT round(avg(a.recall), 6) AS recall_at_5, round(avg(b.recall), 6) AS recall_at_10, round(avg(a.precision), 6) AS precision_at_5, round(avg(a.reciprocal_rank), 6) AS mrr, round(avg(a.ndcg), 6) AS ndcg_at_5, round(avg(a.hit::INTEGER), 6) AS hit_rate, count(*) AS queries FROM {quality(5)} a JOIN {quality(10)} b USING (query_id)",
@@ -256,18 +277,12 @@ ORACLES: dict[str, str] = {
     "guardrail_reports": f"WITH {_REPORT}, m AS (SELECT key, bool_or(verdict = 'block') AS blocked, arg_min(guard, position) FILTER (verdict = 'block') AS blocked_by FROM judged GROUP BY key) SELECT key, blocked, blocked_by, CASE WHEN blocked THEN {_REFUSED} END AS refusal FROM m",
     "guardrail_events": f"WITH {_REPORT} SELECT guard, count(*) AS events FROM judged WHERE verdict <> 'pass' GROUP BY guard",
     "latest_guardrails": f"SELECT key, guard, arg_max(verdict, seq) AS verdict, arg_max(score, seq) AS score FROM {values('staged_results')} GROUP BY 1, 2",
-    "evidence_guardrails": f"""{HYBRID}, {RERANK}, {AGREEMENT},
-        h AS (SELECT r.query_id, max(greatest(0, least(1, coalesce(dense_score, 0)))) AS top, avg(greatest(0, least(1, coalesce(dense_score, 0)))) AS mean, min(greatest(0, least(1, coalesce(dense_score, 0)))) AS low, count(*) AS chunks,
-            list_distinct(flatten(list({tokens("r.text || ' ' || coalesce(p.text, '')")}))) AS ctx FROM reranked r LEFT JOIN chunk_rows p ON p.id = r.parent_chunk GROUP BY 1),
-        j AS (SELECT e.query_id, coalesce(top, 0) AS top, coalesce(mean, 0) AS mean, coalesce(low, 0) AS low, coalesce(chunks, 0) AS chunks, coalesce(agreement, 0) AS agreement, {content("coalesce(e.query, '')")} AS needles, coalesce(ctx, []::VARCHAR[]) AS ctx, {rule_score("coalesce(e.query, '')", "out_of_scope")} AS hint
-            FROM evaluation_cases e LEFT JOIN h USING (query_id) LEFT JOIN agree USING (query_id)),
-        k AS (SELECT *, {covered('needles', 'ctx')} AS coverage, CASE WHEN top > 0 THEN 1 - least(1, (CASE WHEN chunks > 1 THEN top - low ELSE 0 END) / greatest(top, 1e-6)) ELSE 0 END AS consistency FROM j),
-        l AS (SELECT *, 0.5 * agreement + 0.3 * consistency + 0.2 * least(1, chunks / 3.0) AS verification FROM k)
+    "evidence_guardrails": f"""{EVIDENCE}
         SELECT query_id, chunks, round(top, 6) AS top_score, round(mean, 6) AS mean_score, round(agreement, 6) AS agreement, round(coverage, 6) AS coverage, round(least(1.0, hint * 0.6 + (1 - coverage) * 0.4), 6) AS off_topic_score, round(verification, 6) AS verification_score,
         CASE WHEN chunks = 0 OR top < 0.28 THEN 'block' ELSE 'pass' END AS similarity_verdict, CASE WHEN hint >= 0.6 AND coverage < 0.25 THEN 'warn' ELSE 'pass' END AS off_topic_verdict, CASE WHEN verification < 0.25 THEN 'warn' ELSE 'pass' END AS verification_verdict FROM l""",
-    "confidence_blend": f"SELECT key, round({_BLEND}, 4) AS confidence, round({_BLEND}, 12) >= 0.42 AS sufficient, list_max([{_LOSSES}]).f AS worst, CASE WHEN trim(coalesce(answer, '')) = '' OR contains(answer, 'I could not find enough evidence in the indexed documents to answer that.') THEN 'insufficient_context' WHEN round({_BLEND}, 12) < 0.42 THEN 'low_confidence' ELSE 'answered' END AS status, round(0.55 * ({clamp('groundedness')}), 6) AS unverified FROM {values('signals')}",
+    "confidence_blend": f"SELECT key, round({BLEND}, 4) AS confidence, round({BLEND}, 12) >= 0.42 AS sufficient, list_max([{LOSSES}]).f AS worst, CASE WHEN trim(coalesce(answer, '')) = '' OR contains(answer, 'I couldn''t find enough evidence in the retrieved documents.') THEN 'insufficient_context' WHEN round({BLEND}, 12) < 0.42 THEN 'low_confidence' ELSE 'answered' END AS status, CASE WHEN trim(coalesce(answer, '')) = '' OR contains(answer, 'I couldn''t find enough evidence in the retrieved documents.') THEN 'I couldn''t find enough evidence in the retrieved documents.' WHEN round({BLEND}, 12) < 0.42 THEN 'I don''t have enough information.' ELSE {strip('answer')} END AS final, round(0.55 * ({clamp('groundedness')}), 6) AS unverified FROM {values('signals')}",
     "score_clamps": f"SELECT n, round({clamp('x')}, 9) AS clamped, round(CASE WHEN coalesce(x, 0) >= 0 OR isnan(x) THEN 1 / (1 + exp(-coalesce(x, 0))) ELSE exp(x) / (1 + exp(x)) END, 9) AS sigmoid FROM {values('numbers')}",
-    "web_results": f"WITH o AS (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY tier, position) AS nth FROM {values('web_tiers')}), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, position) AS place FROM o WHERE nth = 1) SELECT query_id, place, url, title FROM p WHERE place <= 3",
+    "web_results": f"WITH o AS (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY tier, position) AS nth FROM {values('web_tiers')}), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, position) AS place FROM o WHERE nth = 1) SELECT query_id, place, url, title FROM p WHERE place <= 5",
     "cases_from_index": f"WITH {CHUNKS}, s AS (SELECT * FROM chunk_rows WHERE is_selected AND coalesce(query_id, '') <> '') SELECT query_id, arg_min(coalesce(query_text, topic, ''), id) AS query, arg_min(language, id) AS language, array_to_string(list_sort(list_distinct(list(document_id))), ',') AS expected FROM s GROUP BY query_id HAVING {strip('arg_min(coalesce(query_text, topic, ' + chr(39) * 2 + '), id)')} <> ''",
     "suggestions": f"WITH {CHUNKS}, {_SUGGEST} SELECT * FROM sug",
     "suggestion_pairs": f"WITH {CHUNKS}, {_SUGGEST} SELECT a.query_id, a.text AS english, b.language, b.text FROM sug a JOIN sug b USING (query_id) WHERE a.language = 'eng_Latn' AND b.language <> 'eng_Latn'",
@@ -283,3 +298,5 @@ ORACLES: dict[str, str] = {
     "request_validation": f"SELECT n, coalesce(top_k, 10) AS top_k, coalesce(top_n, 5) AS top_n, concat_ws(',', CASE WHEN length(trim(coalesce(query, ''))) < 2 THEN 'query_too_short' END, CASE WHEN length(trim(query)) > 2000 THEN 'query_too_long' END, CASE WHEN top_k NOT BETWEEN 1 AND 50 THEN 'top_k' END, CASE WHEN top_n NOT BETWEEN 1 AND 20 THEN 'top_n' END, CASE WHEN history > 20 THEN 'history' END) AS problems FROM {values('form_requests')}",
     "health_status": f"SELECT CASE WHEN bool_or(status = 'down') THEN 'down' WHEN bool_or(status = 'degraded') THEN 'degraded' ELSE 'up' END AS status, CASE WHEN bool_or(status = 'down') THEN 503 ELSE 200 END AS code FROM {values('services')}",
 }
+
+ORACLES |= CHUNKING

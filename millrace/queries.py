@@ -19,11 +19,13 @@ from millrace.operators import lexical as L
 from millrace.operators import prompts as P
 from millrace.operators import records as R
 from millrace.oracles import ORACLES
+from millrace.oracles_chains import CHAINS
+from millrace.plans.lineage import cut
 from millrace.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 K, ARM, TOP_N = 10, 20, 5
-REFUSAL = "I could not find enough evidence in the indexed documents to answer that."
+REFUSAL = G.INSUFFICIENT
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -169,7 +171,9 @@ def html_results(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def speech_texts(spark: SparkSession, d: str) -> DataFrame:
-    return fixture(spark, "answers").select("answer_id", X.speech_text(F.col("answer")).alias("spoken"))
+    """Of every document and of written answers with all kinds of markup."""
+    rows = read_table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("key"), "text").unionByName(fixture(spark, "answers").select(F.concat(F.lit("a"), "answer_id").alias("key"), F.col("answer").alias("text")))
+    return rows.select("key", F.md5(X.speech_text(F.col("text"))).alias("spoken"))
 
 
 @query
@@ -244,15 +248,15 @@ def arm_agreement(spark: SparkSession, d: str) -> DataFrame:
     return H.arm_agreement(_fused(spark, d)).select("query_id", F.round("agreement", 9).alias("agreement"))
 
 
-def _candidates(spark: SparkSession, d: str, k: int | None = K) -> DataFrame:
+def _candidates(spark: SparkSession, d: str, k: int | None = K, fused: DataFrame | None = None) -> DataFrame:
     """The best k fused candidates with their texts; without k all of them."""
     chunks = _chunks(spark, d).select("id", "text", "document_id", "parent_chunk", "source", "language", "topic")
-    fused = _fused(spark, d)
+    fused = _fused(spark, d) if fused is None else fused
     return (fused if k is None else fused.filter(F.col("rank") <= k)).join(chunks, "id").join(_cases(spark, d).select("query_id", "query"), "query_id")
 
 
-def _reranked(spark: SparkSession, d: str) -> DataFrame:
-    scored = L.heuristic_rerank(_candidates(spark, d), "query", "text", "fused_score").withColumnRenamed("rank", "rank_before")
+def _reranked(spark: SparkSession, d: str, fused: DataFrame | None = None) -> DataFrame:
+    scored = L.heuristic_rerank(_candidates(spark, d, fused=fused), "query", "text", "fused_score").withColumnRenamed("rank", "rank_before")
     return L.top_k(scored, TOP_N, score="rerank_score").withColumnRenamed("rank", "rank_after")
 
 
@@ -269,8 +273,8 @@ def mmr_select(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def candidate_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """The pairs of a query's best candidates: their trigrams are made once each, before the join."""
-    rows = _candidates(spark, d, TOP_N).select("query_id", "rank", X.trigrams(F.coalesce("text", F.lit(""))).alias("grams"))
+    """The pairs of a query's candidates, which diversity compares: their trigrams are made once each, before the join."""
+    rows = _candidates(spark, d, None).select("query_id", "rank", X.trigrams(F.coalesce("text", F.lit(""))).alias("grams"))
     a, b = (rows.select("query_id", F.col("rank").alias(f"rank_{x}"), F.col("grams").alias(f"grams_{x}")) for x in "ab")
     return a.join(b, "query_id").filter("rank_a < rank_b").select("query_id", "rank_a", "rank_b", F.round(X.jaccard(F.col("grams_a"), F.col("grams_b")), 9).alias("similarity"))
 
@@ -309,9 +313,13 @@ def exact_cache(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def semantic_cache(spark: SparkSession, d: str) -> DataFrame:
-    rows = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("entry_id"), F.col("label").cast("string").alias("options_key"), F.col("embedding").alias("vector"))
-    asked = rows.filter(F.col("entry_id") % 100 == 0).withColumnRenamed("entry_id", "request_id")
-    return H.semantic_cache_hits(asked, rows, 0.2)
+    """Requests: the vector of each case's least chunk id, asked when that was indexed. Entries: all vectors, under their language.
+    The table's times lie days apart, so an entry serves a month."""
+    rows = read_table(spark, d, "vector_records").filter((F.size("vector") == 96) & ~F.col("is_parent")).groupBy("id").agg(F.first("vector").alias("vector"), F.max("upserted_at").alias("at"), F.min("metadata.query_id").alias("query_id"), F.min("metadata.language").alias("options_key"))
+    rows = rows.withColumn("vector", normalize_vector(F.col("vector")))
+    asked = rows.groupBy("query_id").agg(F.min_by(F.struct("options_key", "vector", "at"), "id").alias("r")).join(_cases(spark, d).select("query_id"), "query_id", "left_semi")
+    entries = rows.select(F.col("id").alias("entry_id"), "options_key", "vector", F.col("at").alias("stored_at"))
+    return H.semantic_cache_hits(asked.select(F.col("query_id").alias("request_id"), "r.*"), entries, ttl_ms=30 * 86_400_000)
 
 
 @query
@@ -429,21 +437,27 @@ def guardrail_rules(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("key", F.explode(hits).alias("rule"))
 
 
+def _prompts(spark: SparkSession, d: str) -> DataFrame:
+    """The query of every request once, and written cases of each rule."""
+    asked = read_table(spark, d, "request_log").groupBy(F.concat(F.lit("r"), "request_id").alias("key")).agg(F.min("query").alias("query"))
+    return asked.unionByName(fixture(spark, "prompts").select("key", "query"))
+
+
 @query
 def guardrail_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    rows = fixture(spark, "prompts").select("key", "query")
+    rows = _prompts(spark, d)
     return G.input_report(rows, "key", "query").select("key", "guard", F.round("score", 4).alias("score"), "verdict", F.array_join("evidence", " ; ").alias("evidence"))
 
 
 @query
 def guardrail_reports(spark: SparkSession, d: str) -> DataFrame:
-    rows = fixture(spark, "prompts").select("key", "query")
+    rows = _prompts(spark, d)
     return G.merge_reports(G.input_report(rows, "key", "query"), "key")
 
 
 @query
 def guardrail_events(spark: SparkSession, d: str) -> DataFrame:
-    rows = fixture(spark, "prompts").select("key", "query")
+    rows = _prompts(spark, d)
     return G.input_report(rows, "key", "query").filter("verdict <> 'pass'").groupBy("guard").agg(F.count(F.lit(1)).alias("events"))
 
 
@@ -453,8 +467,9 @@ def latest_guardrails(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _evidence(spark: SparkSession, d: str) -> DataFrame:
-    hits = H.expand_parents(_reranked(spark, d), _chunks(spark, d).select("id", "text"))
-    return G.evidence_checks(_cases(spark, d), hits, H.arm_agreement(_fused(spark, d)))
+    fused = cut(_fused(spark, d))  # 2 * ARM rows a query: computed once, used by both
+    hits = H.expand_parents(_reranked(spark, d, fused), _chunks(spark, d).select("id", "text"))
+    return G.evidence_checks(_cases(spark, d), hits, H.arm_agreement(fused))
 
 
 @query
@@ -479,7 +494,7 @@ def groundedness(spark: SparkSession, d: str) -> DataFrame:
 @query
 def confidence_blend(spark: SparkSession, d: str) -> DataFrame:
     rows = G.confidence(fixture(spark, "signals"))
-    return rows.select("key", "confidence", "sufficient", "worst", G.outcome(F.col("answer"), F.col("sufficient"), REFUSAL).alias("status"), F.round(G.unverified_confidence(F.col("groundedness")), 6).alias("unverified"))
+    return rows.select("key", "confidence", "sufficient", "worst", G.outcome(F.col("answer"), F.col("sufficient"), REFUSAL).alias("status"), G.final_answer(F.col("answer"), F.col("sufficient")).alias("final"), F.round(G.unverified_confidence(F.col("groundedness")), 6).alias("unverified"))
 
 
 @query
@@ -487,7 +502,7 @@ def answer_confidence(spark: SparkSession, d: str) -> DataFrame:
     """The whole chain on the labelled cases, their answers standing for generated ones."""
     rows = _evidence(spark, d).join(_grounded(spark, d), "query_id").join(_cases(spark, d).select("query_id", "answer"), "query_id")
     rows = G.confidence(rows)
-    return rows.select("query_id", F.round("confidence", 3).alias("confidence"), "worst", G.outcome(F.col("answer"), F.col("sufficient"), REFUSAL).alias("status"))
+    return rows.select("query_id", F.round("confidence", 3).alias("confidence"), "worst", G.outcome(F.col("answer"), F.col("sufficient"), REFUSAL).alias("status"), F.md5(G.final_answer(F.col("answer"), F.col("sufficient"))).alias("final"))
 
 
 @query
@@ -499,19 +514,29 @@ def score_clamps(spark: SparkSession, d: str) -> DataFrame:
 # --- prompts --------------------------------------------------------------------------------------
 
 
-def _blocks(spark: SparkSession, d: str) -> DataFrame:
+def _blocks(spark: SparkSession, d: str, budget: int = P.CONTEXT) -> DataFrame:
     hits = H.expand_parents(_reranked(spark, d), _chunks(spark, d).select("id", "text"))
-    return P.context_blocks(hits.select("query_id", "id", "document_id", F.col("rank_after").alias("rank"), "text", "parent_text", "source", "language", "topic", F.col("rerank_score").alias("score")), budget=3_000)
+    return P.context_blocks(hits.select("query_id", "id", "document_id", F.col("rank_after").alias("rank"), "text", "parent_text", "source", "language", "topic", F.col("rerank_score").alias("score")), budget=budget)
 
 
 @query
 def context_budget(spark: SparkSession, d: str) -> DataFrame:
-    return _blocks(spark, d).select("query_id", "index", "id", "document_id", "used", F.md5("snippet").alias("snippet"))
+    return _blocks(spark, d).select("query_id", "index", "id", "document_id", "used", F.md5("snippet").alias("snippet"), F.md5("block").alias("block"))
+
+
+@query
+def context_budget_tight(spark: SparkSession, d: str) -> DataFrame:
+    """Under a budget that most queries exceed, so that the last block is cut."""
+    return _blocks(spark, d, 1_000).select("query_id", "index", "id", "used")
 
 
 @query
 def prompt_messages(spark: SparkSession, d: str) -> DataFrame:
-    return P.user_messages(_cases(spark, d), _blocks(spark, d), REFUSAL).select("query_id", "blocks", "estimated_tokens")
+    """The whole prompt, with the latest requests of the same query for its conversation."""
+    log = A.once_each(read_table(spark, d, "request_log")).filter("query_id IS NOT NULL")
+    turns = log.select("query_id", F.struct("created_at", "request_id").alias("turn"), F.lit("user").alias("role"), F.coalesce("query", F.lit("")).alias("content"))
+    made = P.messages(_cases(spark, d), _blocks(spark, d), REFUSAL, turns)
+    return made.select("query_id", "blocks", F.size("messages").alias("messages"), "estimated_tokens", F.md5(F.element_at("messages", -1)["content"]).alias("asked"))
 
 
 @query
@@ -521,12 +546,12 @@ def recent_turns(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def web_results(spark: SparkSession, d: str) -> DataFrame:
-    return R.merge_web_results(fixture(spark, "web_tiers"), limit=3).select("query_id", "place", "url", "title")
+    return R.merge_web_results(fixture(spark, "web_tiers")).select("query_id", "place", "url", "title")
 
 
 @query
 def web_contexts(spark: SparkSession, d: str) -> DataFrame:
-    return R.web_context(R.merge_web_results(fixture(spark, "web_tiers"), limit=3))
+    return R.web_context(R.merge_web_results(fixture(spark, "web_tiers")))
 
 
 # --- records and index ----------------------------------------------------------------------------
@@ -656,4 +681,4 @@ def _steps(method: str) -> Callable[[SparkSession, str], DataFrame]:
 
 QUERIES |= {"recursive_chunk": _steps("structural"), "semantic_chunk": _steps("topical"), "sliding_window": _steps("sliding"), "overlap_chunk": _steps("overlap"), "parent_chunk": _steps("parents")}
 
-SQL: dict[str, str] = {name: sql for name, sql in ORACLES.items() if name in QUERIES}
+SQL: dict[str, str] = {name: sql for name, sql in {**ORACLES, **CHAINS}.items() if name in QUERIES}

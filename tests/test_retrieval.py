@@ -108,9 +108,19 @@ def test_caches(spark):
     entry = spark.sql(f"select 'o' options_key, 'mill' form, {times} stored_at")
     asked = spark.sql(f"select id request_id, 'o' options_key, 'mill' form, {times} + make_interval(0,0,0,0,0,0,s) at from values ('x', 0), ('y', 10), ('z', 299), ('w', 300) t(id, s)")
     assert {r["request_id"] for r in H.exact_cache_hits(asked, entry).collect()} == {"y", "z"}
-    entries = spark.createDataFrame([("e1", "o", [1.0, 0.0]), ("e2", "o", [0.0, 1.0]), ("e3", "p", [1.0, 0.0])], "entry_id string, options_key string, vector array<double>")
-    requests = spark.createDataFrame([("r1", "o", [0.99, 0.1]), ("r2", "o", [0.97, 0.2]), ("r3", "q", [1.0, 0.0])], "request_id string, options_key string, vector array<double>")
-    assert [tuple(r) for r in H.semantic_cache_hits(requests, entries).collect()] == [("r1", "e1", 0.99)]
+    entries = spark.createDataFrame([("e1", "o", [1.0, 0.0], 100), ("e2", "o", [0.0, 1.0], 100), ("e3", "p", [1.0, 0.0], 100), ("e4", "o", [1.0, 0.0], 100), ("e0", "o", [1.0, 0.0], 500), ("e5", "o", None, 100), ("e6", None, [1.0, 0.0], 100)], "entry_id string, options_key string, vector array<double>, s int").selectExpr("*", "timestamp_seconds(s) stored_at").drop("s")
+    requests = spark.createDataFrame([("r1", "o", [0.99, 0.1], 200), ("r2", "o", [0.97, 0.2], 200), ("r3", "q", [1.0, 0.0], 200), ("r4", "o", [1.0, 0.0], 400), ("r5", "o", [1.0, 0.0], 100), ("r6", "o", [1.0, 0.0], 399)], "request_id string, options_key string, vector array<double>, s int").selectExpr("*", "timestamp_seconds(s) at").drop("s")
+    # not r4 and r5: the entries are 300 seconds old, or not there yet
+    assert sorted(tuple(r) for r in H.semantic_cache_hits(requests, entries).collect()) == [("r1", "e1", 0.99), ("r6", "e1", 1.0)]
+    assert H.semantic_cache_hits(requests.limit(0), entries).count() == 0
+
+
+def test_cache_forms(spark):
+    from millrace.functions.text import cache_form
+
+    df = spark.createDataFrame([(1, "  What is a Mill?? "), (2, "ｗｈａｔ ｉｓ　ａ ｍｉｌｌ"), (3, "क\u093c्या"), (4, "क़्या"), (5, None), (6, "ﬁne")], "n int, q string")
+    got = {r["n"]: r["f"] for r in df.select("n", cache_form(F.col("q")).alias("f")).collect()}
+    assert got[1] == got[2] == "what is a mill" and got[3] == got[4] and got[5] is None and got[6] == "fine"
 
 
 def test_metrics(spark):
