@@ -8,15 +8,23 @@ summation does not show.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.text import content_tokens, let, tokenize
 from millrace.functions.vector import inverse_document_frequency
 from millrace.operators.evaluation import numbered
+from millrace.plans.lineage import cut
 
 K1, B, DIGITS = 1.2, 0.75, 9
+#: Queries whose weights one task holds, and cells of scores it makes at a time.
+QUERY_BLOCK, DENSE = 4_096, 2_000_000
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -77,6 +85,87 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, query_key: str = "query_id"
     return matched.groupBy(query_key, key).agg(score.alias("score")).filter("score > 0")
 
 
+def _statistics(docs: DataFrame, queries: DataFrame, text: str, query_text: str) -> tuple[DataFrame, DataFrame]:
+    """The corpus row, and frequencies of the queries' terms, from one pass over the texts: every row has a null among its terms that carries its length."""
+    tokens = docs.select(F.coalesce(tokenize(F.col(text)), F.array().cast("array<string>")).alias("_tokens"))
+    terms = tokens.select(F.size("_tokens").alias("n"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("_tokens"))).alias("term"))
+    wanted = queries.select(F.explode(tokenize(F.col(query_text))).alias("term")).unionByName(queries.sparkSession.createDataFrame([(None,)], "term string")).distinct()
+    kept = terms.join(wanted.withColumnRenamed("term", "_wanted"), F.col("term").eqNullSafe(F.col("_wanted")), "left_semi")
+    counted = cut(kept.groupBy("term").agg(F.count(F.lit(1)).alias("frequency"), F.sum("n").alias("n")))
+    stats = counted.filter("term IS NULL").agg(F.coalesce(F.max("frequency"), F.lit(0)).alias("documents"), F.max("n").alias("n"))
+    average = F.when(F.col("documents") > 0, F.greatest(F.lit(1.0), F.col("n") / F.col("documents"))).otherwise(1.0)
+    return stats.select("documents", average.alias("average_length")), counted.filter("term IS NOT NULL").select("term", "frequency")
+
+
+def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int, query_key: str = "query_id", query_text: str = "query", key: str = "id", text: str = "text", searched: Column | None = None, distinct: bool = False) -> DataFrame:
+    """query key, key, score, rank: the k best of each query, as ``top_k`` of ``bm25_scores`` gives.
+
+    The queries are a stated set, taken in blocks. Each batch of documents meets a block as one sparse product, of which
+    a task keeps k rows a query: a common term costs work where its documents lie, but no shuffle, and is in no hot group.
+    """
+    spark = docs.sparkSession
+    stats, frequencies = _statistics(docs, queries, text, query_text)
+    average = stats.first()["average_length"]  # one row
+    weights = query_weights(queries, frequencies, stats, query_key, query_text, distinct).select(F.col(query_key).alias("q"), "term", "idf")
+    rows = docs.filter(F.lit(True) if searched is None else F.coalesce(searched, F.lit(False))).select(F.col(key).alias("d"), tokenize(F.col(text)).alias("tokens")).filter("size(tokens) > 0")
+    schema = T.StructType([T.StructField("q", queries.schema[query_key].dataType), T.StructField("d", docs.schema[key].dataType), T.StructField("score", T.DoubleType())])
+    asked = queries.select(F.col(query_key).alias("q")).distinct()
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    found = None
+    for block in range(blocks):
+        held = spark.sparkContext.broadcast(_Block(weights.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block).toPandas()))
+
+        def search(batches, held=held):
+            best = None
+            for batch in batches:
+                best = held.value.best_of(batch, k, average, best)
+            if best is not None and len(best):
+                yield pa.RecordBatch.from_arrays([pa.array(best["q"].map(held.value.names.__getitem__)), pa.array(best["d"]), pa.array(best["score"])], names=["q", "d", "score"])
+
+        one = rows.mapInArrow(search, schema)
+        found = one if found is None else found.unionByName(one)
+    return top_k(found.select(F.col("q").alias(query_key), F.col("d").alias(key), "score"), k, query_key, key)
+
+
+class _Block:
+    """The weights of a block's terms, term by term."""
+
+    def __init__(self, weights: pd.DataFrame):
+        self.names = sorted(weights["q"].unique())
+        place = {q: i for i, q in enumerate(self.names)}
+        weights = weights.sort_values(["term", "q"], kind="stable")
+        self.terms = weights["term"].unique().tolist()
+        counts = weights.groupby("term", sort=True).size().to_numpy() if len(weights) else np.empty(0, "i8")
+        self.starts = np.concatenate([[0], np.cumsum(counts)]).astype("i8")
+        self.query, self.idf = weights["q"].map(place).to_numpy(dtype="i8"), weights["idf"].to_numpy(dtype="f8")
+
+    def best_of(self, batch: pa.RecordBatch, k: int, average: float, best: pd.DataFrame | None) -> pd.DataFrame:
+        """The best k of each query among those kept so far and the batch."""
+        lists = batch.column(1)
+        codes = pc.index_in(lists.flatten(), value_set=pa.array(self.terms, pa.string()))
+        lengths = np.diff(lists.offsets.to_numpy())
+        document = np.repeat(np.arange(len(lists)), lengths)
+        known = codes.is_valid().to_numpy(zero_copy_only=False)
+        pairs, tf = np.unique(document[known] * max(1, len(self.terms)) + codes.drop_null().to_numpy(), return_counts=True)
+        document, code = np.divmod(pairs, max(1, len(self.terms)))
+        weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[document] / average))
+        width = max(1, len(self.names))
+        parts = [best] if best is not None else []
+        step = max(1, DENSE // width)
+        for low in range(0, len(lists), step):
+            own = slice(*np.searchsorted(document, [low, low + step]))
+            first, size = self.starts[code[own]], self.starts[code[own] + 1] - self.starts[code[own]]
+            at = np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
+            cell = np.repeat(document[own] - low, size) * width + self.query[at]
+            n = min(step, len(lists) - low)
+            score = np.round(np.bincount(cell, weights=np.repeat(weight[own], size) * self.idf[at], minlength=n * width).reshape(n, width), DIGITS)
+            least = np.partition(score, n - k, axis=0)[n - k] if n > k else np.zeros(width)
+            d, q = np.nonzero((score > 0) & (score >= least))
+            parts.append(pd.DataFrame({"q": q, "d": batch.column(0).take(pa.array(d + low)).to_pandas(), "score": score[d, q]}))
+        rows = pd.concat(parts).sort_values(["q", "score", "d"], ascending=[True, False, True], kind="stable")
+        return rows[rows.groupby("q").cumcount() < k]
+
+
 def top_k(scored: DataFrame, k: int, query_key: str = "query_id", key: str = "id", score: str = "score") -> DataFrame:
     """The best k of each query with their rank from 1; ties by key. A limit a group, applied before the shuffle too."""
     order = W.partitionBy(query_key).orderBy(F.desc(score), key)

@@ -54,7 +54,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, options: Retrieval = Retriev
     id, scores and ranks of both arms, fused_score, rank_before, rerank_score, rank_after, parent_text and the chunk's columns.
     """
     child = F.coalesce("strategy", F.lit("")) != "parent"
-    sparse = lexical.top_k(lexical.bm25_scores(queries, chunks, searched=child), options.arm)
+    sparse = lexical.bm25_top_k(queries, chunks, options.arm, searched=child)
     dense = hybrid.dense_top_k(queries, chunks.filter(child), options.arm)
     fused = hybrid.reciprocal_rank_fusion(dense, sparse, options.rrf_k)
     agreement = hybrid.arm_agreement(fused)

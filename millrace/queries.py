@@ -57,14 +57,12 @@ def _child():
 
 @query
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    scored = L.bm25_scores(_cases(spark, d), _chunks(spark, d), searched=_child())
-    return L.top_k(scored, K).select("query_id", "id", "rank", "score")
+    return L.bm25_top_k(_cases(spark, d), _chunks(spark, d), K, searched=_child()).select("query_id", "id", "rank", "score")
 
 
 @query
 def bm25_distinct_topk(spark: SparkSession, d: str) -> DataFrame:
-    scored = L.bm25_scores(_cases(spark, d), read_table(spark, d, "documents"), key="doc_id", distinct=True)
-    return L.top_k(scored, K, key="doc_id").select("query_id", "doc_id", "rank", "score")
+    return L.bm25_top_k(_cases(spark, d), read_table(spark, d, "documents"), K, key="doc_id", distinct=True).select("query_id", "doc_id", "rank", "score")
 
 
 @query
@@ -231,7 +229,7 @@ def _dense(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sparse(spark: SparkSession, d: str) -> DataFrame:
-    return L.top_k(L.bm25_scores(_cases(spark, d), _chunks(spark, d), searched=_child()), ARM)
+    return L.bm25_top_k(_cases(spark, d), _chunks(spark, d), ARM, searched=_child())
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:

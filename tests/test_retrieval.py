@@ -134,6 +134,23 @@ def test_metrics(spark):
     assert all((m[q]["recall"], m[q]["precision"], m[q]["ndcg"], m[q]["hit"]) == (0, 0, 0, False) for q in "23")
 
 
+@pytest.mark.parametrize("dense,block", [(2_000_000, 4_096), (8, 2)])
+def test_best_by_blocks_equal_all_scores(spark, monkeypatch, dense, block):
+    monkeypatch.setattr(L, "DENSE", dense)
+    monkeypatch.setattr(L, "QUERY_BLOCK", block)
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(12)]
+    docs = DOCS + [(f"n{i:03d}", " ".join(rng.choice(words, rng.integers(0, 9)))) for i in range(80)] + [(f"m{i:03d}", "w1 w2") for i in range(9)]  # ties
+    d = spark.createDataFrame([(*x, 1) for x in docs], "id string, text string, score int").repartition(3)
+    q = spark.createDataFrame(QUERIES + [("6", "w1 w2 w2"), ("7", "w1 mill"), ("8", "absent")], "query_id string, query string")
+    for distinct in (False, True):
+        for searched in (None, F.col("id") < "n050"):
+            want = L.top_k(L.bm25_scores(q, d, searched=searched, distinct=distinct), 4).select("query_id", "id", "score", "rank").collect()
+            got = L.bm25_top_k(q, d, 4, searched=searched, distinct=distinct).select("query_id", "id", "score", "rank").collect()
+            assert sorted((r[0], r[1], round(r[2], 8), r[3]) for r in got) == sorted((r[0], r[1], round(r[2], 8), r[3]) for r in want) and len(got) > 10
+    assert L.bm25_top_k(q, d.limit(0), 4).count() == 0 and L.bm25_top_k(q.limit(0), d, 4).count() == 0
+
+
 @pytest.mark.parametrize("n,size", [(10, 3), (7, 7), (3, 10), (100, 7), (0, 5)])
 def test_stride_sample(spark, n, size):
     df = spark.range(n).withColumnRenamed("id", "k")
