@@ -86,9 +86,10 @@ def arm_agreement(fused: DataFrame, query_key: str = "query_id") -> DataFrame:
     return fused.groupBy(query_key).agg(F.when((d == 0) | (s == 0), 0.0).otherwise(both / (d + s - both)).alias("agreement"))
 
 
-def _grams(text: str) -> frozenset[str]:
-    plain = " ".join(text.lower().split())
-    return frozenset(plain[i : i + 3] for i in range(len(plain) - 2))
+def _grams(text: str) -> np.ndarray:
+    """The set of runs of three characters as numbers."""
+    codes = np.frombuffer(" ".join(text.lower().split()).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype("i8")
+    return np.unique((codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:]) if len(codes) > 2 else np.empty(0, "i8")
 
 
 def diversify(relevance: list[float], texts: list[str], limit: int, weight: float, vectors: list | None = None) -> list[int]:
@@ -105,10 +106,9 @@ def diversify(relevance: list[float], texts: list[str], limit: int, weight: floa
         like = np.maximum(0.0, m @ m.T)
     else:
         grams = [_grams(t or "") for t in texts]
-        place = {g: i for i, g in enumerate(frozenset().union(*grams))}
-        marks = np.zeros((n, max(1, len(place))), dtype="f4")
-        for i, own in enumerate(grams):
-            marks[i, [place[g] for g in own]] = 1
+        every, place = np.unique(np.concatenate(grams), return_inverse=True)
+        marks = np.zeros((n, max(1, len(every))), dtype="f4")
+        marks[np.repeat(np.arange(n), [len(g) for g in grams]), place] = 1
         shared, sizes = marks @ marks.T, marks.sum(axis=1)
         like = shared.astype("f8") / np.maximum(1, sizes[:, None] + sizes[None, :] - shared)
     nearest, chosen, open_ = np.zeros(n), [], np.ones(n, dtype=bool)

@@ -228,12 +228,16 @@ def _dense(spark: SparkSession, d: str) -> DataFrame:
     return H.dense_top_k(_query_vectors(spark, d), children, ARM)
 
 
-def _sparse(spark: SparkSession, d: str) -> DataFrame:
-    return L.bm25_top_k(_cases(spark, d), _chunks(spark, d), ARM, searched=_child())
+def _hybrid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Both arms fused, at most 2 * ARM rows a query, and the chunks. Both are written once: statistics, search and all
+    later steps read the chunks again, which would otherwise be made of the table's repeated rows each time."""
+    chunks = cut(_chunks(spark, d).select("id", "text", "document_id", "parent_chunk", "strategy", "source", "language", "topic"))
+    sparse = L.bm25_top_k(_cases(spark, d), chunks, ARM, searched=_child())
+    return cut(H.reciprocal_rank_fusion(_dense(spark, d), sparse)), chunks
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
-    return H.reciprocal_rank_fusion(_dense(spark, d), _sparse(spark, d))
+    return _hybrid(spark, d)[0]
 
 
 @query
@@ -246,41 +250,41 @@ def arm_agreement(spark: SparkSession, d: str) -> DataFrame:
     return H.arm_agreement(_fused(spark, d)).select("query_id", F.round("agreement", 9).alias("agreement"))
 
 
-def _candidates(spark: SparkSession, d: str, k: int | None = K, fused: DataFrame | None = None) -> DataFrame:
+def _candidates(spark: SparkSession, d: str, found: tuple[DataFrame, DataFrame], k: int | None = K) -> DataFrame:
     """The best k fused candidates with their texts; without k all of them."""
-    chunks = _chunks(spark, d).select("id", "text", "document_id", "parent_chunk", "source", "language", "topic")
-    fused = _fused(spark, d) if fused is None else fused
-    return (fused if k is None else fused.filter(F.col("rank") <= k)).join(chunks, "id").join(_cases(spark, d).select("query_id", "query"), "query_id")
+    fused, chunks = found
+    return (fused if k is None else fused.filter(F.col("rank") <= k)).join(chunks.drop("strategy"), "id").join(_cases(spark, d).select("query_id", "query"), "query_id")
 
 
-def _reranked(spark: SparkSession, d: str, fused: DataFrame | None = None) -> DataFrame:
-    scored = L.heuristic_rerank(_candidates(spark, d, fused=fused), "query", "text", "fused_score").withColumnRenamed("rank", "rank_before")
+def _reranked(spark: SparkSession, d: str, found: tuple[DataFrame, DataFrame]) -> DataFrame:
+    scored = L.heuristic_rerank(_candidates(spark, d, found), "query", "text", "fused_score").withColumnRenamed("rank", "rank_before")
     return L.top_k(scored, TOP_N, score="rerank_score").withColumnRenamed("rank", "rank_after")
 
 
 @query
 def heuristic_rerank(spark: SparkSession, d: str) -> DataFrame:
-    rows = _reranked(spark, d)
+    rows = _reranked(spark, d, _hybrid(spark, d))
     return rows.select("query_id", "id", "rank_before", "rank_after", (F.col("rank_before") - F.col("rank_after")).alias("gain"), F.round("rerank_score", 6).alias("rerank_score"))
 
 
 @query
 def mmr_select(spark: SparkSession, d: str) -> DataFrame:
-    return H.maximal_marginal_relevance(_candidates(spark, d, None), K)
+    return H.maximal_marginal_relevance(_candidates(spark, d, _hybrid(spark, d), None), K)
 
 
 @query
 def candidate_similarity(spark: SparkSession, d: str) -> DataFrame:
     """The pairs of a query's candidates, which diversity compares: their trigrams are made once each, before the join."""
-    rows = _candidates(spark, d, None).select("query_id", "rank", X.trigrams(F.coalesce("text", F.lit(""))).alias("grams"))
+    rows = _candidates(spark, d, _hybrid(spark, d), None).select("query_id", "rank", X.trigrams(F.coalesce("text", F.lit(""))).alias("grams"))
     a, b = (rows.select("query_id", F.col("rank").alias(f"rank_{x}"), F.col("grams").alias(f"grams_{x}")) for x in "ab")
     return a.join(b, "query_id").filter("rank_a < rank_b").select("query_id", "rank_a", "rank_b", F.round(X.jaccard(F.col("grams_a"), F.col("grams_b")), 9).alias("similarity"))
 
 
 @query
 def parent_expansion(spark: SparkSession, d: str) -> DataFrame:
-    hits = _reranked(spark, d).select("query_id", "id", "parent_chunk")
-    return H.expand_parents(hits, _chunks(spark, d).select("id", "text")).select("query_id", "id", F.coalesce(F.length("parent_text"), F.lit(0)).alias("parent_chars"))
+    found = _hybrid(spark, d)
+    hits = _reranked(spark, d, found).select("query_id", "id", "parent_chunk")
+    return H.expand_parents(hits, found[1].select("id", "text")).select("query_id", "id", F.coalesce(F.length("parent_text"), F.lit(0)).alias("parent_chars"))
 
 
 @query
@@ -465,8 +469,8 @@ def latest_guardrails(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _evidence(spark: SparkSession, d: str) -> DataFrame:
-    fused = cut(_fused(spark, d))  # 2 * ARM rows a query: computed once, used by both
-    hits = H.expand_parents(_reranked(spark, d, fused), _chunks(spark, d).select("id", "text"))
+    fused, chunks = found = _hybrid(spark, d)
+    hits = H.expand_parents(_reranked(spark, d, found), chunks.select("id", "text"))
     return G.evidence_checks(_cases(spark, d), hits, H.arm_agreement(fused))
 
 
@@ -513,7 +517,8 @@ def score_clamps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, d: str, budget: int = P.CONTEXT) -> DataFrame:
-    hits = H.expand_parents(_reranked(spark, d), _chunks(spark, d).select("id", "text"))
+    found = _hybrid(spark, d)
+    hits = H.expand_parents(_reranked(spark, d, found), found[1].select("id", "text"))
     return P.context_blocks(hits.select("query_id", "id", "document_id", F.col("rank_after").alias("rank"), "text", "parent_text", "source", "language", "topic", F.col("rerank_score").alias("score")), budget=budget)
 
 
