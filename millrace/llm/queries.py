@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.text import estimate_tokens
@@ -36,6 +37,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return split_sentences(docs, keep=["document_id"]).select("document_id", "char_start", "char_end")
 
 
+def p1_sampled(spark: SparkSession, d: str) -> DataFrame:
+    """The units of the documents that were split by hand."""
+    sampled = read_table(spark, d, "sentence_samples").select("document_id").distinct()
+    return split_sentences(_passages(spark, d).join(sampled, "document_id", "left_semi"), keep=["document_id"]).select("document_id", "char_start", "char_end", "text")
+
+
 def p1_sentences(spark: SparkSession, d: str) -> DataFrame:
     return split_sentences(_passages(spark, d))
 
@@ -99,6 +106,11 @@ def p4_tokens(spark: SparkSession, d: str) -> DataFrame:
     return _counted(spark, d).select("record_kind", "id", "tokens", "estimate", "chars")
 
 
+def p4_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """What the trie counts beside tokens."""
+    return _counted(spark, d).select("record_kind", "id", "chars", "estimate")
+
+
 def p4_totals(spark: SparkSession, d: str) -> DataFrame:
     # chunk sources are repository/split#query: the part before # is the source
     rows = _counted(spark, d).withColumn("source", F.substring_index("source", "#", 1))
@@ -136,6 +148,20 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(_passages(spark, d), "document_id")
 
 
+def p6_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Of each passage that was cut: whether all pieces are within the limit, are counted rightly, cover the passage and overlap."""
+    passages = _passages(spark, d)
+    pieces = split_oversized(passages, "document_id").join(passages.select("document_id", F.col("text").alias("passage")), "document_id")
+    order = W.partitionBy("document_id").orderBy("char_start", "char_end")
+    before = F.lag("char_end").over(order)
+    cut_out = F.expr("substring(passage, char_start + 1, char_end - char_start)")
+    pieces = pieces.withColumns({"joined": before.isNull() | (F.col("char_start") < before), "size": estimate_tokens(cut_out)})
+    return pieces.groupBy("document_id").agg(
+        (F.max("size") <= 220).alias("within"), (F.max(F.abs(F.col("size") - F.col("token_count"))) == 0).alias("counted"), F.min("joined").alias("overlapping"),
+        ((F.trim(F.expr("substring(first(passage), 1, min(char_start))")) == "") & (F.trim(F.expr("substring(first(passage), max(char_end) + 1)")) == "")).alias("whole"),
+    )
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, d, "documents")
     packed = pack_containers(docs, "doc_id", estimate_tokens(F.col("text")), CONTAINER)
@@ -147,6 +173,15 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack_containers(docs, "doc_id", estimate_tokens(F.col("text")), CONTAINER)
 
 
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """One row: what went in and came out of the containers, and whether none is too full and none but an oversized item is divided."""
+    packed = p7_containers(spark, d)
+    held = packed.filter("container IS NOT NULL").groupBy("container").agg(F.sum("part_size").alias("fill"))
+    full = held.agg((F.max("fill") <= CONTAINER).alias("fits"), (F.count(F.lit(1)) * CONTAINER * 0.95 <= F.sum("fill")).alias("dense"))
+    sums = packed.agg(F.count_distinct("doc_id").alias("documents"), F.sum("part_size").alias("units"), F.count(F.lit(1)).alias("parts"), (F.count_if((F.col("parts") > 1) != (F.col("size") > CONTAINER)) == 0).alias("divided_rightly"))
+    return sums.crossJoin(full)  # a row each
+
+
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = read_table(spark, d, "documents")
     return mix_sources(docs, "doc_id", "source", estimate_tokens(F.col("text")), read_table(spark, d, "mix_targets"))
@@ -161,6 +196,13 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
+def p8_sources(spark: SparkSession, d: str) -> DataFrame:
+    """What each target wants and its source has, and whether the mixture took it: all of it, or all repeats, but for less than a document."""
+    shares = _mixed(spark, d)[1]
+    took = F.when(F.col("reachable"), (F.col("taken") >= F.col("wanted")) & (F.col("repeats") <= F.col("max_repeats"))).otherwise(F.col("taken") == F.col("max_repeats") * F.col("size"))
+    return shares.select("source", "documents", "size", "total", F.round("wanted", 3).alias("wanted"), "reachable", took.alias("taken_rightly"))
+
+
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[0]
 
@@ -179,5 +221,5 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_sentences, p2_found, p2_daily, p2_weekly, p3_found, p3_neighbours, p4_found, p4_tokens, p4_totals, p5_found, p5_classes, p5_canonical, p6_found, p6_pieces, p7_found, p7_containers, p8_found, p8_shares, p8_mixture, p9_found, p9_shared)
+    for f in (p1_found, p1_sampled, p1_sentences, p2_found, p2_daily, p2_weekly, p3_found, p3_neighbours, p4_found, p4_sizes, p4_tokens, p4_totals, p5_found, p5_classes, p5_canonical, p6_found, p6_checks, p6_pieces, p7_found, p7_checks, p7_containers, p8_found, p8_sources, p8_shares, p8_mixture, p9_found, p9_shared)
 }

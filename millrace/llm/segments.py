@@ -34,6 +34,7 @@ _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _INSIDE = regex.compile(r"(?<=[\p{L}\p{M}\p{N}])(?=[\p{L}\p{M}\p{N}])")
 _SPACE = regex.compile(r"\s+")
 _CLAUSE = regex.compile(r"[,;:，、；：،؛—–)\]）」』”]\s*")
+_COMBINING = regex.compile(r"\p{M}")
 
 
 class _Passage:
@@ -46,10 +47,10 @@ class _Passage:
         self.dense[1:][marks] = 1
         np.cumsum(self.dense, out=self.dense)
         self.unspaced = language in UNSPACED
-        if self.unspaced:  # only a combining mark may not be cut off
-            self.forbidden = {m.start() for m in regex.finditer(r"\p{M}", text)}
-        else:
-            self.forbidden = {m.start() for m in _INSIDE.finditer(text)}
+        self.forbidden = bytearray(len(text) + 1)  # 1 where no cut may be
+        # of unspaced scripts only a combining mark may not be cut off
+        for m in (_COMBINING if self.unspaced else _INSIDE).finditer(text):
+            self.forbidden[m.start()] = 1
         units = sentence_units(text, language)
         self.sentences = sorted({e for _, e in units if self.legal(e)} - {len(text)})
         self.starts = sorted({s for s, _ in units if self.legal(s)})
@@ -58,7 +59,7 @@ class _Passage:
         self._words()
 
     def legal(self, at: int) -> bool:
-        return at not in self.forbidden
+        return not self.forbidden[at]
 
     def estimate(self, a: int, b: int) -> int:
         n = b - a
