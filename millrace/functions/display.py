@@ -34,11 +34,11 @@ def grouped_number(x: Column) -> Column:
 
 
 def compact(x: Column) -> Column:
-    """12.4K, 3.1M and so on; plain below a thousand."""
+    """12.4K, 3.1M and so on; below a thousand the number with all its digits."""
     size = F.abs(x)
     unit = F.when(size >= 1e9, F.lit(1e9)).when(size >= 1e6, F.lit(1e6)).otherwise(F.lit(1e3))
     name = F.when(size >= 1e9, "B").when(size >= 1e6, "M").otherwise("K")
-    return _shown(x, F.when(size < 1000, F.regexp_replace(F.format_string("%.2f", x), r"\.?0+$", "")).otherwise(F.concat(F.regexp_replace(F.format_string("%.1f", x / unit), r"\.0$", ""), name)))
+    return _shown(x, F.when(size < 1000, F.regexp_replace(x.cast("string"), r"\.0$", "")).otherwise(F.concat(F.regexp_replace(F.format_string("%.1f", x / unit), r"\.0$", ""), name)))
 
 
 def size_in_bytes(x: Column) -> Column:

@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 from millrace.fixtures import FIXTURES
-from millrace.functions.text import DENSE_SCRIPTS, LANGUAGE_NAMES, SCRIPTS, STOPWORDS
-from millrace.oracles_chunking import CHUNKING
-from millrace.operators.guard import INPUT_GUARDS, REFUSAL, REFUSALS, RULES
+from millrace.operators.guard import RULES
+from millrace.oracles_chunking import CHUNKING, DENSE_SCRIPTS, LANGUAGE_NAMES, SCRIPTS, STOPWORDS
+
+INPUT_GUARDS = ("prompt_injection", "jailbreak", "toxicity")
+REFUSALS = {
+    "prompt_injection": "This request was blocked because it tried to override the assistant’s instructions.",
+    "jailbreak": "This request was blocked because it tried to bypass safety constraints.",
+    "toxicity": "This request was blocked because it asks for harmful content.",
+}
+REFUSAL = "This request was blocked by a safety guardrail."
 
 _TYPES = {"int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE"}
 

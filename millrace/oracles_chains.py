@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from millrace.fixtures import FIXTURES
 from millrace.oracles import AGREEMENT, BLEND, EVIDENCE, HYBRID, LOSSES, RERANK, content, covered, jaccard, plain, strip, tokens, trigram_list, values
-from millrace.oracles_chunking import normal, sentences
+from millrace.oracles_chunking import LANGUAGE_NAMES, normal, sentences
 
-_LATIN = [("eng_Latn", "English"), ("asm_Beng", "Assamese"), ("ben_Beng", "Bengali"), ("brx_Deva", "Bodo"), ("doi_Deva", "Dogri"), ("gom_Deva", "Konkani"), ("guj_Gujr", "Gujarati"), ("hin_Deva", "Hindi"), ("kan_Knda", "Kannada"), ("kas_Arab", "Kashmiri"), ("mai_Deva", "Maithili"), ("mal_Mlym", "Malayalam"), ("mar_Deva", "Marathi"), ("mni_Beng", "Manipuri"), ("npi_Deva", "Nepali"), ("ory_Orya", "Odia"), ("pan_Guru", "Punjabi"), ("san_Deva", "Sanskrit"), ("sat_Olck", "Santali"), ("snd_Arab", "Sindhi"), ("tam_Taml", "Tamil"), ("tel_Telu", "Telugu"), ("urd_Arab", "Urdu")]
 _REFUSAL, _UNSURE = "I couldn''t find enough evidence in the retrieved documents.", "I don''t have enough information."
 
 # --- diversity --------------------------------------------------------------------------------------
@@ -47,7 +46,7 @@ def blocks(budget: int) -> str:
         fits = f"{budget} - {upto} > 0 AND trim({shown}) <> ''"
         return f"'shown': CASE WHEN {fits} THEN {shown} END, 'upto': {upto} + CASE WHEN {fits} THEN length({shown}) ELSE 0 END"
 
-    name = "CASE language " + " ".join(f"WHEN '{t}' THEN '{n}'" for t, n in _LATIN) + " ELSE coalesce(language, '') END"
+    name = "CASE language " + " ".join(f"WHEN '{t}' THEN '{n}'" for t, n in LANGUAGE_NAMES.items()) + " ELSE coalesce(language, '') END"
     return f"""
     hb AS (SELECT r.query_id, r.rank_after, r.k, CASE WHEN coalesce(length(p.text), 0) > length(r.text) THEN p.text ELSE r.text END AS body FROM reranked r LEFT JOIN chunk_rows p ON p.id = r.parent_chunk WHERE r.text IS NOT NULL),
     hl AS (SELECT query_id, list([{{'k': k, 'body': body, {step('body', '0')}}}] ORDER BY rank_after, k) AS l FROM hb GROUP BY 1),
@@ -173,4 +172,15 @@ CHAINS: dict[str, str] = {
     "event_frames": f"""WITH p AS (SELECT stream_id, string_split(body, chr(10) || chr(10)) AS fs FROM {values('sse')}), r AS (SELECT stream_id, unnest(range(0, len(fs) - 1))::INTEGER AS frame, unnest(list_slice(fs, 1, len(fs) - 1)) AS f FROM p),
         d AS (SELECT stream_id, frame, {_DATA} AS ls FROM r), j AS (SELECT stream_id, frame, array_to_string(ls, chr(10)) AS payload FROM d WHERE len(ls) > 0)
         SELECT stream_id, frame, json_extract_string(payload, '$.type') AS type, payload FROM j WHERE json_valid(payload)""",
+    "formatted": f"""WITH n AS (SELECT n, x, x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x) AS ok FROM {values('numbers')}),
+        b AS (SELECT *, CASE WHEN ok THEN x ELSE 0 END AS y, CASE WHEN ok AND x > 0 THEN least(3, floor(log2(greatest(x, 1.0)) / 10))::INTEGER ELSE 0 END AS u, CASE WHEN ok THEN greatest(0, floor(x)) ELSE 0 END::BIGINT AS s FROM n)
+        SELECT n,
+            CASE WHEN NOT ok THEN '—' WHEN y < 1 THEN '<1ms' WHEN y < 1000 THEN floor(y + 0.5)::BIGINT || 'ms' WHEN y < 10000 THEN printf('%.2fs', y / 1000) WHEN y < 60000 THEN printf('%.1fs', y / 1000)
+                ELSE floor(y / 60000)::BIGINT || 'm ' || floor((y - floor(y / 60000) * 60000) / 1000 + 0.5)::BIGINT || 's' END AS ms,
+            CASE WHEN ok THEN printf('%.1f%%', y * 100) ELSE '—' END AS percent,
+            CASE WHEN NOT ok THEN '—' WHEN abs(y) < 1000 THEN regexp_replace(y::VARCHAR, '[.]0$', '')
+                ELSE regexp_replace(printf('%.1f', floor(y * 10 / CASE WHEN abs(y) >= 1e9 THEN 1e9 WHEN abs(y) >= 1e6 THEN 1e6 ELSE 1e3 END + 0.5) / 10), '[.]0$', '') || CASE WHEN abs(y) >= 1e9 THEN 'B' WHEN abs(y) >= 1e6 THEN 'M' ELSE 'K' END END AS compact,
+            CASE WHEN NOT ok OR y <= 0 THEN '0 B' WHEN u = 0 THEN printf('%.0f B', y) ELSE printf('%.1f ', y / 1024.0 ** u) || ['B', 'KB', 'MB', 'GB'][u + 1] END AS bytes,
+            CASE WHEN s // 60 < 10 THEN '0' ELSE '' END || (s // 60) || ':' || CASE WHEN s % 60 < 10 THEN '0' ELSE '' END || (s % 60) AS minutes,
+            CASE WHEN ok THEN format('{{:,}}', floor(y + 0.5)::BIGINT) ELSE '—' END AS grouped FROM b""",
 }

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-# The values are held here again, apart from the operators'.
-_DENSE = "Devanagari Bengali Tamil Telugu Kannada Malayalam Gujarati Gurmukhi Oriya Arabic Han Hiragana Katakana".split()
-_STOP = (
+# Fixed values, held here again apart from the operators': a wrong one shows.
+DENSE_SCRIPTS = "Devanagari Bengali Tamil Telugu Kannada Malayalam Gujarati Gurmukhi Oriya Arabic Han Hiragana Katakana".split()
+STOPWORDS = (
     "a an the and or but if then than so because as of at by for with about against between into through during before after above below to from "
     "up down in out on off over under again further once here there when where why how all any both each few more most other some such no nor "
     "not only own same too very can will just should now is are was were be been being have has had having do does did doing would could shall "
     "may might must i you he she it we they me him her them my your his its our their this that these those what which who whom whose"
 ).split()
+SCRIPTS = "Latin Devanagari Bengali Tamil Telugu Kannada Malayalam Gujarati Gurmukhi Oriya Arabic".split()
+LANGUAGE_NAMES = {
+    "eng_Latn": "English", "asm_Beng": "Assamese", "ben_Beng": "Bengali", "brx_Deva": "Bodo", "doi_Deva": "Dogri", "gom_Deva": "Konkani", "guj_Gujr": "Gujarati", "hin_Deva": "Hindi",
+    "kan_Knda": "Kannada", "kas_Arab": "Kashmiri", "mai_Deva": "Maithili", "mal_Mlym": "Malayalam", "mar_Deva": "Marathi", "mni_Beng": "Manipuri", "npi_Deva": "Nepali", "ory_Orya": "Odia",
+    "pan_Guru": "Punjabi", "san_Deva": "Sanskrit", "sat_Olck": "Santali", "snd_Arab": "Sindhi", "tam_Taml": "Tamil", "tel_Telu": "Telugu", "urd_Arab": "Urdu",
+}
 TARGET, LEAST, OVERLAP, PARENT, WINDOW, STRIDE = 220, 48, 48, 700, 160, 80
 
 SP = r"[\p{Z}\t\n\x0B\f\r\x{0085}\x{FEFF}]"
@@ -25,7 +31,7 @@ def strip(t: str) -> str:
 
 
 def estimate(t: str) -> str:
-    not_dense = "[^" + "".join(rf"\p{{{s}}}" for s in _DENSE) + "]"
+    not_dense = "[^" + "".join(rf"\p{{{s}}}" for s in DENSE_SCRIPTS) + "]"
     return f"CASE WHEN coalesce({t}, '') = '' THEN 0 ELSE greatest(1, ceil(length({t}) / (4.0 - 1.4 * length(regexp_replace({t}, '{not_dense}', '', 'g')) / length({t}))))::INTEGER END"
 
 
@@ -79,7 +85,7 @@ def structural(source: str, out: str) -> str:
 
 def topical(sent: str, out: str) -> str:
     """CTEs up to ``out``(k, i, t, s, e, tok): sentences grouped where their words differ most."""
-    words = r"list_distinct(list_filter(regexp_extract_all(lower(t), '[\p{L}\p{N}\p{M}]+'), lambda w: length(w) > 1 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in _STOP) + "], w)))"
+    words = r"list_distinct(list_filter(regexp_extract_all(lower(t), '[\p{L}\p{N}\p{M}]+'), lambda w: length(w) > 1 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in STOPWORDS) + "], w)))"
     both, either = "len(list_intersect(a, b))", "len(list_distinct(list_concat(a, b)))"
     closed = lambda tok, row: f"{row}.last OR (({tok} >= {TARGET} OR {row}.far) AND {tok} >= {LEAST})"
     size = "CASE WHEN acc[-1].closed THEN 0 ELSE acc[-1].size END + x[1].size"
