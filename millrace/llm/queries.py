@@ -17,7 +17,7 @@ from millrace.llm.packing import pack_containers
 from millrace.llm.quantiles import build_sketches, merge_sketches, sketch_percentiles
 from millrace.llm.segments import recut, split_oversized
 from millrace.llm.sentences import split_sentences
-from millrace.llm.spans import shared_occurrences, shared_share, sharing_pairs
+from millrace.llm.spans import passage_members, shared_occurrences, shared_share, sharing_pairs
 from millrace.llm.tokens import count_tokens, token_totals
 from millrace.sources.tables import read_table
 
@@ -215,11 +215,15 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sharing_pairs(_occurrences(spark, d))
 
 
+def p9_members(spark: SparkSession, d: str) -> DataFrame:
+    return passage_members(_occurrences(spark, d)).withColumnRenamed("doc", "doc_id")
+
+
 def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return shared_share(read_table(spark, d, "documents"), _occurrences(spark, d), "doc_id").withColumn("spans", F.to_json("spans"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_sampled, p1_sentences, p2_found, p2_daily, p2_weekly, p3_found, p3_neighbours, p4_found, p4_sizes, p4_tokens, p4_totals, p5_found, p5_classes, p5_canonical, p6_found, p6_checks, p6_pieces, p7_found, p7_checks, p7_containers, p8_found, p8_sources, p8_shares, p8_mixture, p9_found, p9_shared)
+    for f in (p1_found, p1_sampled, p1_sentences, p2_found, p2_daily, p2_weekly, p3_found, p3_neighbours, p4_found, p4_sizes, p4_tokens, p4_totals, p5_found, p5_classes, p5_canonical, p6_found, p6_checks, p6_pieces, p7_found, p7_checks, p7_containers, p8_found, p8_sources, p8_shares, p8_mixture, p9_found, p9_members, p9_shared)
 }

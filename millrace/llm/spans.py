@@ -239,6 +239,14 @@ def shared_occurrences(df: DataFrame, key: str, text: str = "text", least: int =
     return located.join(shared, "passage_id", "left_semi")
 
 
+def passage_members(occurrences: DataFrame) -> DataFrame:
+    """passage_id, doc, documents: what ``sharing_pairs`` says without writing out pairs. A row a passage and document, with the number
+    of documents that have the passage; however many they are, none meets the others in a task."""
+    members = occurrences.select("passage_id", "doc").distinct()
+    counts = members.groupBy("passage_id").agg(F.count(F.lit(1)).alias("documents"))
+    return members.join(counts, "passage_id").select("passage_id", "doc", "documents")
+
+
 def sharing_pairs(occurrences: DataFrame) -> DataFrame:
     """doc_a < doc_b for all documents that share a passage. Of passages that stand in the same documents one is enough."""
     members = occurrences.select("passage_id", "doc").distinct()

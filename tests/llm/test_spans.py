@@ -45,6 +45,10 @@ def test_against_brute_force(spark, monkeypatch, contexts):
         occurrences = S.shared_occurrences(df, "id", least=40)
         pairs, covered = brute(docs, 40)
         assert {tuple(r) for r in S.sharing_pairs(occurrences).collect()} == pairs
+        members = {}
+        for r in S.passage_members(occurrences).collect():
+            members.setdefault((r["passage_id"], r["documents"]), set()).add(r["doc"])
+        assert all(len(m) == n > 1 for (_, n), m in members.items()) and {(a, b) for m in members.values() for a in m for b in m if a < b} == pairs
         got = {r["id"]: r["shared_chars"] for r in S.shared_share(df, occurrences, "id").collect()}
         assert got == covered
 
