@@ -106,7 +106,7 @@ def overlapped(spans: str, texts: str, out: str) -> str:
     half = lambda x: f"floor({x} + 0.5)::INTEGER"
     return f"""
     {out}_b AS (SELECT sp.*, tx.t AS whole, lag(sp.s) OVER o AS ps, lag(sp.e) OVER o AS pe FROM {spans} sp JOIN {texts} tx USING (k) WINDOW o AS (PARTITION BY k ORDER BY i)),
-    {out}_c AS (SELECT *, CASE WHEN ps IS NULL THEN 0 ELSE least({half(f"{OVERLAP} * length(whole) / {estimate('whole')}::DOUBLE")}, {half('(e - s) * 0.35')}, {half('(pe - ps) * 0.5')}) END AS reach FROM {out}_b),
+    {out}_c AS (SELECT *, CASE WHEN ps IS NULL THEN 0 ELSE least({half(f"{OVERLAP} * length(whole) / {estimate('whole')}::DOUBLE")}, {half('(e - s) * 0.35::DOUBLE')}, {half('(pe - ps) * 0.5::DOUBLE')}) END AS reach FROM {out}_b),
     {out}_a AS (SELECT *, greatest(ps, s - reach) AS at0 FROM {out}_c),
     {out}_l AS (SELECT *, greatest(at0 - 24, 0) AS lo FROM {out}_a),
     {out}_k AS (SELECT *, CASE WHEN at0 <= 0 OR at0 >= length(whole) THEN at0 ELSE at0 - length(regexp_extract(substring(whole, lo + 2, at0 - lo), '[^{SP[1:]}*$')) END AS cut_at FROM {out}_l),
