@@ -67,6 +67,8 @@ def packed_vectors(df: DataFrame, key: str, vector: str, dimensions: int) -> Dat
         units = [scale[i].tobytes() + whole[i].tobytes() if good[i] else None for i in range(len(m))]
         return pd.DataFrame({"unit": units, "u": [hashlib.md5(m[i].tobytes()).digest() if good[i] else None for i in range(len(m))]})
 
+    # not to be computed a second time for the filter
+    pack = pack.asNondeterministic()
     return rows.select("id", pack("v").alias("p")).select("id", "p.*").filter(F.col("unit").isNotNull())
 
 
@@ -205,7 +207,8 @@ def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int = 5, dimensi
     if not n:
         return spark.createDataFrame([], f"id {id_type}, neighbour {id_type}, cosine float, rank int")
     ids = packed.groupBy("id").agg(F.min("u").alias("u"))
-    members = cut(ids.join(heads.select("u", "head"), "u").select("id", "head"))
+    # no join of rows is a broadcast through the driver: the engine takes a vector for one number, and what follows it for a ninetieth of its size
+    members = cut(ids.join(heads.select("u", "head").hint("merge"), "u").select("id", "head"))
     sampled = heads.filter(F.pmod(F.xxhash64("u"), F.lit(max(1, n // SAMPLE))) == 0) if n > 2 * SAMPLE else heads
     sample = sampled.select("unit").limit(2 * SAMPLE).toPandas()
     pivots = fit_pivots(unpack(sample["unit"]), int(np.clip(n // CELL, 1, PIVOTS)))
@@ -241,10 +244,10 @@ def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int = 5, dimensi
     # of a direction's copies the k + 1 least ids can be anyone's neighbours; the limit is applied before the shuffle too
     of = W.partitionBy("head").orderBy("id")
     visible = members.withColumn("nth", F.row_number().over(of)).filter(F.col("nth") <= k + 1).groupBy("head").agg(F.collect_list("id").alias("ids"))
-    shown = near.join(visible.withColumnRenamed("head", "other"), "other").select("head", "far", "ids")
+    shown = near.join(visible.withColumnRenamed("head", "other").hint("merge"), "other").select("head", "far", "ids")
     lists = shown.unionByName(visible.select("head", F.lit(-1.0).cast("float").alias("far"), "ids"))
     lists = lists.select("head", F.transform("ids", lambda x: F.struct(F.col("far").alias("far"), x.alias("neighbour"))).alias("l")).groupBy("head").agg(ordered(F.flatten(F.collect_list("l")), k + 1).alias("l"))
-    own_list = members.join(lists, "head").select("id", F.posexplode(F.slice(F.filter("l", lambda x: x["neighbour"] != F.col("id")), 1, k)).alias("n", "x"))
+    own_list = members.join(lists.hint("merge"), "head").select("id", F.posexplode(F.slice(F.filter("l", lambda x: x["neighbour"] != F.col("id")), 1, k)).alias("n", "x"))
     return own_list.select("id", "x.neighbour", (-F.col("x.far")).alias("cosine"), (F.col("n") + 1).alias("rank"))
 
 

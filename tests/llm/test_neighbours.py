@@ -94,3 +94,22 @@ def test_collisions_exclude_and_verify():
         neighbours._verify = inner
     assert sum(met) < 0.7 * len(v) ** 2  # the more a block holds, the smaller the share that is verified
     assert np.allclose((v[a] * v[b]).sum(axis=1), c, atol=1e-5) and (a != b).all()
+
+
+def test_no_rows_are_broadcast_through_the_driver(spark, monkeypatch):
+    """Joins of rows stay shuffled however small the engine takes them to be; only the regions' sizes, a row a region, are broadcast."""
+    rng = np.random.default_rng(6)
+    plans, inner = [], neighbours.cut
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return inner(df)
+
+    monkeypatch.setattr(neighbours, "cut", seen)
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 10_000_000
+    out = nearest_neighbours(table(spark, rng.standard_normal((200, 96))), "id", "vector")
+    out.collect()
+    plans.append(out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+    joins = [line for plan in plans for line in plan.splitlines() if "Join" in line]
+    assert len(joins) == 4 and [("Broadcast" in x, "region#" in x) for x in joins if "SortMergeJoin" not in x] == [(True, True)]
+    assert sum(plan.count("pack(") for plan in plans) == 2  # each vector is packed once for the directions and once for the ids
